@@ -2,7 +2,7 @@
 
 import importlib
 
-_QUERY_MODULES = ["canonical"]
+_QUERY_MODULES = ["heavy", "canonical"]
 
 
 def query_modules() -> list:
