@@ -2,7 +2,7 @@
 
 import importlib
 
-_QUERY_MODULES = ["termfreq", "heavy", "canonical"]
+_QUERY_MODULES = ["percentiles", "termfreq", "heavy", "canonical"]
 
 
 def query_modules() -> list:
