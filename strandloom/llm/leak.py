@@ -58,14 +58,29 @@ def mend_encoding(text: str) -> str:
     return text
 
 
-def _unlabel(m: re.Match) -> str:
-    return m[1] if m[2].isupper() else m[0]
+def dialogue(text: str) -> list[str]:
+    """The spoken text of subtitles in one form: without cue numbers, times, mark-up, speaker labels and sound descriptions.
 
-
-def dialogue(text: str) -> str:
-    """The spoken text of subtitles in one form: without cue numbers, times, mark-up, speaker labels and sound descriptions."""
+    In a line all in capitals a word before a colon may be a label or be spoken; such a text has a second reading that
+    keeps those words.
+    """
     text = _TIMES.sub("", text.replace("\r", "\n") if "\r" in text and "\n" not in text else text)
-    return _LABEL.sub(_unlabel, _SOUND.sub(" ", _MARKUP.sub(" ", text)))
+    text = _SOUND.sub(" ", _MARKUP.sub(" ", text))
+    in_doubt = False
+
+    def unlabel(m: re.Match) -> str:
+        return m[1] if m[2].isupper() else m[0]
+
+    def unlabel_mixed(m: re.Match) -> str:
+        nonlocal in_doubt
+        rest = text[m.end() : (text.find("\n", m.end()) + 1 or len(text) + 1) - 1]
+        if m[2].isupper() and rest.isupper():
+            in_doubt = True
+            return m[0]
+        return unlabel(m)
+
+    readings = [_LABEL.sub(unlabel_mixed, text)]
+    return [_LABEL.sub(unlabel, text), *readings] if in_doubt else readings
 
 
 class Words:
@@ -182,7 +197,7 @@ def _shard(ids: list, words: list[list[str]], items: list[tuple], vocabulary: Wo
     own = before != ahead
     it, off, pos = it[own], off[own], pos[own]
     doc = np.searchsorted(starts, pos, side="right") - 1
-    best: dict[tuple[int, int], tuple[int, int]] = {}
+    best: dict[tuple, tuple[int, int]] = {}
     seen: dict[tuple[int, int, int], int] = {}
     for d, i, o, p in zip(doc.tolist(), it.tolist(), off.tolist(), (pos - starts[doc]).tolist()):
         a, b = words[d], item_words[i]
@@ -196,9 +211,9 @@ def _shard(ids: list, words: list[list[str]], items: list[tuple], vocabulary: Wo
         while o + right < len(b) and p + right < len(a) and (a[p + right] == b[o + right] or _alike(a[p + right], b[o + right])):
             right += 1
         seen[d, i, p - o] = p + right
-        if left + right >= need and left + right > best.get((d, i), (0, 0))[0]:
-            best[d, i] = (left + right, p - left)
-    return [(ids[d], items[i][0], n_, p) for (d, i), (n_, p) in best.items()]
+        if left + right >= need and left + right > best.get((ids[d], i), (0, 0))[0]:
+            best[ids[d], i] = (left + right, p - left)
+    return [(d, items[i][0], n_, p) for (d, i), (n_, p) in best.items()]
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text") -> DataFrame:
@@ -208,7 +223,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_i
     shuffled: each worker builds suffix arrays over shards of about SHARD_WORDS words of whole documents, searches every
     suffix of every item in them, and follows verbatim matches in both directions over words with one letter misread.
     The items are few by contract (ITEM_ROWS, checked). Null or empty texts hold nothing; an item without words is never
-    found; repeated documents come out each, repeated items once; other columns are ignored.
+    found; a repeated document id or item comes out once per shard; other columns are ignored.
     """
     listed = items.select(F.col(item_id), F.col(text)).where(F.col(item_id).isNotNull() & F.col(text).isNotNull()).limit(ITEM_ROWS + 1).collect()
     if len(listed) > ITEM_ROWS:
@@ -228,10 +243,10 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_i
         for pdf in batches:
             pdf = pdf[pdf["text"].notna()]
             for i, t in zip(pdf["doc_id"].tolist(), uniform([mend_encoding(t) for t in pdf["text"]])):
-                w = vocabulary.split(dialogue(t))
-                ids.append(i)
-                words.append(w)
-                size += len(w) + 1
+                for reading in dialogue(t):
+                    ids.append(i)
+                    words.append(vocabulary.split(reading))
+                    size += len(words[-1]) + 1
                 if size >= SHARD_WORDS:
                     yield search()
                     ids, words, size = [], [], 0
