@@ -2,7 +2,7 @@
 
 import importlib
 
-_QUERY_MODULES = ["percentiles", "termfreq", "heavy", "canonical", "leak", "lookalike"]
+_QUERY_MODULES = ["percentiles", "termfreq", "heavy", "canonical", "packing", "leak", "lookalike"]
 
 
 def query_modules() -> list:
