@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 import numpy as np
 
@@ -21,6 +22,7 @@ def as_matrix(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return flat.reshape(len(texts), width), sizes
 
 
+@lru_cache(maxsize=256)
 def _fits(pattern: str) -> list[np.ndarray]:
     """Per base of the pattern which bytes it equals: both cases, N any base, any base an N of the target not."""
     rows = []
@@ -89,6 +91,8 @@ def _infix_wide(pattern: str, reads: np.ndarray, wild_target: bool) -> np.ndarra
 
 def _start_of(pattern: str, text: str, stop: int, distance: int, wild_target: bool = False) -> int:
     """First base of the match that ends at ``stop`` (0-based), the longest of equally good ones."""
+    if not distance:
+        return stop + 1 - len(pattern)
     fits = _fits(pattern)[::-1]
     back = text[max(0, stop + 1 - len(pattern) - distance) : stop + 1][::-1]
     row = list(range(len(fits) + 1))
@@ -128,31 +132,44 @@ def merge_overlaps(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def local_alignment(pattern: str, text: str) -> tuple[int, int, int, str] | None:
-    """Best local alignment of the pattern in the text: score, 0-based first and last base of the text, and the operations.
+    return local_alignments(pattern, [text])[0]
 
-    Operations as counts of = X I D S (I: base of the pattern alone, D: base of the text alone). N matches nothing.
+
+def local_alignments(pattern: str, texts: list[str]) -> list[tuple[int, int, int, str] | None]:
+    """Best local alignment of the pattern in each text: score, 0-based first and last base of the text, and the operations.
+
+    Operations as counts of = X I D S (I: base of the pattern alone, D: base of the text alone). N matches nothing. All
+    texts are worked on column by column together.
     """
-    p, t = pattern.upper(), text.upper()
-    m, n = len(p), len(t)
-    if not m or not n:
-        return None
-    a, b = np.frombuffer(p.encode("latin-1", "replace"), np.uint8), np.frombuffer(t.encode("latin-1", "replace"), np.uint8)
-    plain = np.isin(a, np.frombuffer(b"ACGT", np.uint8))
-    h = np.zeros((n + 1, m + 1), np.int32)
-    side = np.full((n + 1, m + 1), -(10**6), np.int32)  # gap in the pattern (D)
-    steps = np.arange(m + 1) * GAP_EXTEND
+    p = pattern.upper()
+    m = len(p)
+    if not m or not texts:
+        return [None] * len(texts)
+    matrix, sizes = as_matrix([t.upper() for t in texts])
+    gains = np.full((256, m), -MISMATCH, np.int32)
+    for i, c in enumerate(p):
+        if c in "ACGT":
+            gains[ord(c), i] = MATCH
+    n, r = matrix.shape[1], len(texts)
+    h = np.zeros((n + 1, r, m + 1), np.int32)
+    side = np.full((r, m + 1), -(10**6), np.int32)  # gap in the pattern (D)
+    steps = np.arange(m + 1, dtype=np.int32) * GAP_EXTEND
     for j in range(1, n + 1):
-        side[j] = np.maximum(h[j - 1] - GAP_OPEN, side[j - 1] - GAP_EXTEND)
-        gain = np.where((a == b[j - 1]) & plain, MATCH, -MISMATCH)
-        row = np.zeros(m + 1, np.int32)
-        row[1:] = np.maximum(0, np.maximum(h[j - 1, :-1] + gain, side[j, 1:]))
-        run = np.maximum.accumulate(row + steps)  # gap in the text (I)
-        row[1:] = np.maximum(row[1:], run[:-1] - steps[1:] - GAP_OPEN + GAP_EXTEND)
+        side = np.maximum(h[j - 1] - GAP_OPEN, side - GAP_EXTEND)
+        row = np.zeros((r, m + 1), np.int32)
+        np.maximum(h[j - 1, :, :-1] + gains[matrix[:, j - 1]], side[:, 1:], out=row[:, 1:])
+        np.maximum(row, 0, out=row)
+        run = np.maximum.accumulate(row + steps, axis=1)  # gap in the text (I)
+        np.maximum(row[:, 1:], run[:, :-1] - steps[1:] - GAP_OPEN + GAP_EXTEND, out=row[:, 1:])
         h[j] = row
-    score = int(h.max())
+    return [_trace(p, t.upper(), h[: size + 1, k]) for k, (t, size) in enumerate(zip(texts, sizes.tolist()))]
+
+
+def _trace(p: str, t: str, h: np.ndarray) -> tuple[int, int, int, str] | None:
+    score = int(h.max(initial=0))
     if score <= 0:
         return None
-    j, i = map(int, np.argwhere(h == score)[0])
+    j, i = (int(v) for v in np.unravel_index(int(np.argmax(h)), h.shape))
     last, end_i, ops = j - 1, i, []
     while i and j and h[j, i] > 0:
         same = p[i - 1] == t[j - 1] and p[i - 1] in "ACGT"
@@ -172,9 +189,8 @@ def local_alignment(pattern: str, text: str) -> tuple[int, int, int, str] | None
                 break
         else:
             break
-    ops += ["S"] * i
-    text_ops = "".join(reversed(ops)) + "S" * (m - end_i)
-    return score, j, last, "".join(f"{len(g[0])}{g[1]}" for g in re.finditer(r"((.)\2*)", text_ops) for g in [(g[1], g[2])])
+    text_ops = "S" * i + "".join(reversed(ops)) + "S" * (len(p) - end_i)
+    return score, j, last, "".join(f"{len(g[1])}{g[2]}" for g in re.finditer(r"((.)\2*)", text_ops))
 
 
 def _segments(cigar: str) -> list[tuple[int, str]]:
@@ -207,24 +223,23 @@ def cigar_edits(cigar: str) -> int:
     return sum(n for n, op in _segments(cigar) if op in "XID")
 
 
-def align_static(pattern: str, text: str, most: int, region: tuple[int, int] | None = None, scores: np.ndarray | None = None) -> dict | None:
-    """Where an adapter lies: 1-based (start, stop), distance and operations, or None.
-
-    A single place at the least distance within the expected region is taken at once. Otherwise local alignment decides:
-    it needs a run of 8 matches near the region, or one of 10 with a slip far from it, 10 bases in all, and at most
-    ``most`` edits.
-    """
-    lo, hi = region or (1, len(text))
+def unique_place(pattern: str, text: str, most: int, region: tuple[int, int], scores: np.ndarray | None = None) -> dict | None:
+    """The only place at the least distance, if it lies within the region: 1-based start and stop, distance."""
     distance, spans = infix_locations(pattern, text, most, scores)
     spans = merge_overlaps([(a + 1, b + 1) for a, b in spans])
-    if len(spans) == 1 and spans[0][0] >= lo and spans[0][1] <= hi:
+    if len(spans) == 1 and spans[0][0] >= region[0] and spans[0][1] <= region[1]:
         return {"start": spans[0][0], "stop": spans[0][1], "distance": distance, "cigar": ""}
-    got = local_alignment(pattern, text)
+    return None
+
+
+def accept_local(got: tuple[int, int, int, str] | None, most: int, region: tuple[int, int]) -> dict | None:
+    """A local alignment as a place: it needs a run of 8 matches near the region, or one of 10 with a slip far from it, 10
+    bases in all, and at most ``most`` edits."""
     if not got:
         return None
     _, a, b, cigar = got
     a, b = a + 1, b + 1
-    off = max(0, lo - a) + max(0, b - hi)
+    off = max(0, region[0] - a) + max(0, b - region[1])
     run, slip = longest_match(cigar), longest_match_with_slip(cigar)
     near = off <= 100 and run >= 8 and slip >= 8
     if b - a + 1 < 10 or not (near or (off > 100 and slip >= 10)) or cigar_edits(cigar) > most:
@@ -232,6 +247,22 @@ def align_static(pattern: str, text: str, most: int, region: tuple[int, int] | N
     return {"start": a, "stop": b, "distance": cigar_edits(cigar), "cigar": cigar}
 
 
+def align_static(pattern: str, text: str, most: int, region: tuple[int, int] | None = None) -> dict | None:
+    """Where an adapter lies: a single place within the expected region at once, else what local alignment accepts."""
+    region = region or (1, len(text))
+    return unique_place(pattern, text, most, region) or accept_local(local_alignment(pattern, text), most, region)
+
+
+def tail_candidates(base: str, reads: np.ndarray) -> np.ndarray:
+    """Which reads have a window full enough of the base."""
+    if reads.shape[1] < TAIL_WINDOW:
+        return np.zeros(len(reads), bool)
+    sums = np.cumsum((reads == ord(base)) | (reads == ord(base.lower())), axis=1, dtype=np.int32)
+    inside = sums[:, TAIL_WINDOW - 1 :].copy()
+    inside[:, 1:] -= sums[:, :-TAIL_WINDOW]
+    return (inside >= TAIL_LEAST).any(axis=1)
+
+
 def poly_tails(base: str, text: str) -> list[tuple[int, int, int]]:
     """Tails of one base: 1-based (start, stop, other bases of the first window)."""
     hit = [c == base for c in text.upper()]

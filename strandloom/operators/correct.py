@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandloom.functions import dna
-from strandloom.session import small_side
+from strandloom.session import BROADCAST_ROWS, cut, small_side
 
 #: Edits allowed against the true list, against the global list in k-mer search, and against it after mutation.
 TRUE_EDITS, KMER_EDITS, GLOBAL_EDITS = 2, 3, 4
@@ -32,11 +32,16 @@ def assign_roles(lists: DataFrame, spec: str = "spec") -> DataFrame:
     return lists.join(F.broadcast(sizes.withColumn("role", role).drop("__n")), ["class_id", spec]).select("class_id", "role", "barcode").distinct()
 
 
-def split_lists(lists: DataFrame) -> tuple[DataFrame, DataFrame]:
+def side(df: DataFrame, small: bool) -> DataFrame:
+    """df as a build side: hinted for broadcasting where the lists behind it have been counted and found small."""
+    return F.broadcast(df) if small else df
+
+
+def split_lists(lists: DataFrame, small: bool = False) -> tuple[DataFrame, DataFrame]:
     """True list, and the global list without what is on the true one."""
     rows = lists.select("class_id", "role", "barcode").distinct()
     true = rows.where("role = 'true'").drop("role")
-    return true, rows.where("role = 'global'").drop("role").join(small_side(true), ["class_id", "barcode"], "left_anti")
+    return true, rows.where("role = 'global'").drop("role").join(side(true, small), ["class_id", "barcode"], "left_anti")
 
 
 def adapter_kmers(adapters: list[str], length: int) -> list[str]:
@@ -48,32 +53,32 @@ def adapter_kmers(adapters: list[str], length: int) -> list[str]:
     return sorted(out)
 
 
-def screen(observed: DataFrame, true: DataFrame, filters: list[str]) -> DataFrame:
+def screen(observed: DataFrame, true: DataFrame, filters: list[str], small: bool = False) -> DataFrame:
     """Add ``screened``: an adapter's k-mer (unless that is a true barcode itself), hardly any variety, or a run of one base."""
     n = F.length("raw")
     most = F.greatest(F.lit(4), F.floor(n * 0.4).cast("int"))
     seen = true.select("class_id", F.col("barcode").alias("raw"), F.lit(True).alias("__true"))
-    out = observed.join(small_side(seen), ["class_id", "raw"], "left")
+    out = observed.join(side(seen, small), ["class_id", "raw"], "left")
     hit = F.col("raw").isin(filters) | dna.revcomp("raw").isin(filters) if filters else F.lit(False)
     poor = (dna.distinct_kmers("raw", 2) < 4) | dna.homopolymer_end("raw", most)
     return out.withColumn("screened", (hit & F.col("__true").isNull()) | (poor if filters else F.lit(False))).drop("__true")
 
 
-def exact(observed: DataFrame, lists: DataFrame, stage: str, reverse_too: bool) -> DataFrame:
+def exact(observed: DataFrame, lists: DataFrame, stage: str, reverse_too: bool, small: bool = False) -> DataFrame:
     """Observed barcodes on the list as they stand, or turned."""
     rows = [(F.col("raw"), 0)] + ([(dna.revcomp("raw"), 1)] if reverse_too else [])
     out = None
     for key, turn in rows:
-        got = observed.withColumn("barcode", key).join(small_side(lists), ["class_id", "barcode"])
+        got = observed.withColumn("barcode", key).join(side(lists, small), ["class_id", "barcode"])
         got = got.select(*_KEY, F.col("barcode").alias("candidate"), F.lit(0).alias("dist"), F.lit(turn).alias("turn"))
         out = got if out is None else out.unionByName(got)
     best = out.groupBy(*_KEY).agg(F.min_by("candidate", F.struct("turn", "candidate")).alias("candidate"))
     return best.withColumn("dist", F.lit(0)).withColumn("stage", F.lit(stage))
 
 
-def _adjudicate(candidates: DataFrame, raw_counts: DataFrame, stage: str) -> DataFrame:
+def adjudicate(candidates: DataFrame, raw_counts: DataFrame, stage: str, small: bool = False) -> DataFrame:
     """One candidate wins; of several, at the least distance at which any has been seen exactly, the only such one."""
-    counted = candidates.join(small_side(raw_counts), ["class_id", "candidate"], "left").withColumn("raw_n", F.coalesce("raw_n", F.lit(0)))
+    counted = candidates.join(side(raw_counts, small), ["class_id", "candidate"], "left").withColumn("raw_n", F.coalesce("raw_n", F.lit(0)))
     alone = F.count(F.lit(1)).over(Window.partitionBy(*_KEY)) == 1
     seen = counted.withColumn("alone", alone).where(F.col("alone") | (F.col("raw_n") > 0))
     least = F.min("dist").over(Window.partitionBy(*_KEY))
@@ -82,12 +87,12 @@ def _adjudicate(candidates: DataFrame, raw_counts: DataFrame, stage: str) -> Dat
     return won.select(*_KEY, "candidate", "dist").withColumn("stage", F.lit(stage))
 
 
-def kmer_candidates(observed: DataFrame, lists: DataFrame, most: int) -> DataFrame:
+def kmer_candidates(observed: DataFrame, lists: DataFrame, most: int, small: bool = False) -> DataFrame:
     """Entries among the k-mers of the widened window, k the barcode's length, within ``most`` edits of the barcode."""
     n = F.length("raw")
     at = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("expanded") - n + 1))
     parts = observed.withColumn("barcode", F.explode(F.array_distinct(F.transform(at, lambda i: F.substring(F.col("expanded"), i, n)))))
-    near = parts.join(small_side(lists), ["class_id", "barcode"]).withColumn("dist", dna.infix_distance("raw", "barcode", most))
+    near = parts.join(side(lists, small), ["class_id", "barcode"]).withColumn("dist", dna.infix_distance("raw", "barcode", most))
     return near.where("dist >= 0").select(*_KEY, F.col("barcode").alias("candidate"), "dist")
 
 
@@ -97,7 +102,7 @@ def _seeds(c: Column, parts: int) -> Column:
     return F.array(*(F.struct(F.lit(k).alias("part"), F.substring(c, bounds[k] + 1, bounds[k + 1] - bounds[k]).alias("seed")) for k in range(parts)))
 
 
-def seed_candidates(observed: DataFrame, lists: DataFrame, most: int = TRUE_EDITS, window: str = "expanded") -> DataFrame:
+def seed_candidates(observed: DataFrame, lists: DataFrame, most: int = TRUE_EDITS, window: str = "expanded", small: bool = False) -> DataFrame:
     """All entries within ``most`` edits inside the window, without comparing everything to everything.
 
     An entry cut in most + 1 parts keeps one of them whole under that many edits, so entries and windows are joined on
@@ -108,18 +113,18 @@ def seed_candidates(observed: DataFrame, lists: DataFrame, most: int = TRUE_EDIT
     w = F.col(window)
     pieces = F.flatten(F.array(*(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(w) - k + 1)), lambda i, k=k: F.substring(w, i, F.lit(k))) for k in sizes if k > 0)))
     open_ = observed.select(*_KEY).distinct().withColumn("seed", F.explode(F.array_distinct(pieces)))
-    pairs = open_.join(small_side(parts), ["class_id", "seed"]).select(*_KEY, "barcode").distinct()
+    pairs = open_.join(side(parts, small), ["class_id", "seed"]).select(*_KEY, "barcode").distinct()
     near = pairs.withColumn("dist", dna.infix_distance(window, "barcode", most)).where("dist >= 0")
     return near.select(*_KEY, F.col("barcode").alias("candidate"), "dist")
 
 
-def mutation_candidates(observed: DataFrame, lists: DataFrame, radius: int, most: int) -> DataFrame:
+def mutation_candidates(observed: DataFrame, lists: DataFrame, radius: int, most: int, small: bool = False) -> DataFrame:
     """Entries within Hamming distance ``radius`` of the barcode and ``most`` edits inside the window.
 
     Joined on radius + 1 parts in place, of which one must be equal, instead of writing out all mutations.
     """
-    cut = lambda df, c: df.withColumn("s", F.explode(_seeds(F.col(c), radius + 1))).withColumn("size", F.length(c)).select("*", "s.part", "s.seed").drop("s")
-    pairs = cut(observed.select(*_KEY).distinct(), "raw").join(small_side(cut(lists, "barcode")), ["class_id", "size", "part", "seed"])
+    parts = lambda df, c: df.withColumn("s", F.explode(_seeds(F.col(c), radius + 1))).withColumn("size", F.length(c)).select("*", "s.part", "s.seed").drop("s")
+    pairs = parts(observed.select(*_KEY).distinct(), "raw").join(side(parts(lists, "barcode"), small), ["class_id", "size", "part", "seed"])
     near = pairs.select(*_KEY, "barcode").distinct().where((dna.hamming("raw", "barcode") <= radius) & (F.col("raw") != F.col("barcode")))
     near = near.withColumn("dist", dna.infix_distance("expanded", "barcode", most)).where("dist >= 0")
     return near.select(*_KEY, F.col("barcode").alias("candidate"), "dist")
@@ -150,20 +155,22 @@ def correct(observed: DataFrame, lists: DataFrame, mode: str = "offensive", radi
     """
     if mode not in FREE:
         raise ValueError(f"mode must be one of {sorted(FREE)}")
-    true, global_ = split_lists(lists)
+    lists = cut(lists.select("class_id", "role", F.col("barcode")).distinct())
+    small = lists.count() <= BROADCAST_ROWS
+    true, global_ = split_lists(lists, small)
     seen = observed.groupBy(*_KEY).agg(F.sum("n").alias("n"))
-    judged = screen(seen, true, filters or [])
+    judged = cut(screen(seen, true, filters or [], small))
     open_ = judged.where("not screened and raw is not null")
-    hits = [exact(open_, global_, "global_exact", False), exact(open_, true, "true_exact", True)]
-    first = _first_of(hits)
-    exact_n = first.join(seen, _KEY).groupBy("class_id", "candidate").agg(F.sum("n").alias("raw_n"))
-    rest = open_.join(first.select(*_KEY), _KEY, "left_anti")
+    first = cut(_first_of([exact(open_, global_, "global_exact", False, small), exact(open_, true, "true_exact", True, small)]))
+    exact_n = first.join(judged.select(*_KEY, "n"), _KEY).groupBy("class_id", "candidate").agg(F.sum("n").alias("raw_n"))
+    rest = cut(open_.join(first.select(*_KEY), _KEY, "left_anti"))
+    exact_n = cut(exact_n)  # at most as long as the lists
     sides = [("true", true, TRUE_EDITS, TRUE_EDITS), ("global", global_, KMER_EDITS, GLOBAL_EDITS)]
     sides = sides if mode == "offensive" else sides[::-1]
-    rungs = [_adjudicate(kmer_candidates(rest, df, k), exact_n, f"{name}_kmer") for name, df, k, _ in sides]
-    rungs.append(_nearest(seed_candidates(rest, true), "true_seed"))
-    rungs += [_adjudicate(mutation_candidates(rest, df, radius, m), exact_n, f"{name}_mutation") for name, df, _, m in sides]
-    fuzzy = gate(_first_of(rungs).join(seen, _KEY), exact_n, mode).drop("n")
+    rungs = [adjudicate(kmer_candidates(rest, df, k, small), exact_n, f"{name}_kmer", small) for name, df, k, _ in sides]
+    rungs.append(nearest(seed_candidates(rest, true, small=small), "true_seed"))
+    rungs += [adjudicate(mutation_candidates(rest, df, radius, m, small), exact_n, f"{name}_mutation", small) for name, df, _, m in sides]
+    fuzzy = gate(_first_of(rungs).join(rest.select(*_KEY, "n"), _KEY), exact_n, mode).drop("n")
     found = first.unionByName(fuzzy)
     out = judged.join(found, _KEY, "left")
     has_true = true.select("class_id").distinct().withColumn("has_true", F.lit(True))
@@ -175,7 +182,7 @@ def correct(observed: DataFrame, lists: DataFrame, mode: str = "offensive", radi
     return out.select(*_KEY, "n", F.col("candidate").alias("corrected"), stage.alias("stage"), source.alias("source"), write.alias("write"), changed.alias("changed"))
 
 
-def _nearest(candidates: DataFrame, stage: str) -> DataFrame:
+def nearest(candidates: DataFrame, stage: str) -> DataFrame:
     """The only candidate at the least distance."""
     per = candidates.groupBy(*_KEY, "dist").agg(F.count(F.lit(1)).alias("c"), F.min("candidate").alias("candidate"))
     best = per.groupBy(*_KEY).agg(F.min_by(F.struct("candidate", "c", "dist"), "dist").alias("b")).where("b.c = 1")
