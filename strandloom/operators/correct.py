@@ -111,7 +111,7 @@ def seed_candidates(observed: DataFrame, lists: DataFrame, most: int = TRUE_EDIT
     parts = lists.select("class_id", "barcode", F.explode(_seeds(F.col("barcode"), most + 1)).alias("s")).select("class_id", "barcode", "s.seed")
     sizes = sorted(r[0] for r in parts.select(F.length("seed")).distinct().collect())
     w = F.col(window)
-    pieces = F.flatten(F.array(*(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(w) - k + 1)), lambda i, k=k: F.substring(w, i, F.lit(k))) for k in sizes if k > 0)))
+    pieces = F.flatten(F.array(*(dna.kmers(w, k) for k in sizes if k > 0)))
     open_ = observed.select(*_KEY).distinct().withColumn("seed", F.explode(F.array_distinct(pieces)))
     pairs = open_.join(side(parts, small), ["class_id", "seed"]).select(*_KEY, "barcode").distinct()
     near = pairs.withColumn("dist", dna.infix_distance(window, "barcode", most)).where("dist >= 0")
