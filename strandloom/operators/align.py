@@ -300,3 +300,40 @@ def masked_regions(pattern: str, aligned: str, cigar: str = "") -> str:
         where = {i: i for i in range(min(len(pattern), len(aligned)))}
     runs = ["".join(aligned[where[i]] for i in range(*m.span()) if i in where and where[i] < len(aligned)) for m in re.finditer("[Nn]+", pattern)]
     return "-".join(r for r in runs if r)
+
+
+def infix_pairs(short: list[str], long: list[str]) -> np.ndarray:
+    """Edit distance of each short sequence (up to 63 bases) within its long one; all pairs go through one bit-parallel run.
+
+    Only plain bases can be equal. The distance is at most the length of the short sequence.
+    """
+    code = np.full(256, 4, np.uint8)
+    code[[65, 67, 71, 84]] = range(4)
+    p, sizes = as_matrix(short)
+    t, widths = as_matrix(long)
+    p, t = code[p], code[t]
+    n = len(short)
+    equal = np.zeros((n, 5), np.uint64)
+    for i in range(p.shape[1]):
+        live = (i < sizes) & (p[:, i] < 4)
+        equal[np.flatnonzero(live), p[live, i]] |= np.uint64(1 << i)
+    full = (np.uint64(1) << sizes.astype(np.uint64)) - np.uint64(1)
+    top = np.uint64(1) << (np.maximum(sizes, 1) - 1).astype(np.uint64)
+    pv, mv = full.copy(), np.zeros(n, np.uint64)
+    score = sizes.astype(np.int16)
+    best = score.copy()
+    rows = np.arange(n)
+    for j in range(t.shape[1]):
+        eq = equal[rows, t[:, j]]
+        xv = eq | mv
+        xh = (((eq & pv) + pv) ^ pv) | eq
+        ph = mv | ~(xh | pv)
+        mh = pv & xh
+        score += ((ph & top) != 0).astype(np.int16)
+        score -= ((mh & top) != 0).astype(np.int16)
+        np.minimum(best, score, out=best, where=j < widths)
+        ph <<= np.uint64(1)
+        mh <<= np.uint64(1)
+        pv = (mh | ~(xv | ph)) & full
+        mv = ph & xv
+    return best

@@ -6,10 +6,15 @@ more on either side) and n (reads). Lists have class_id, role ('true' or 'global
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandloom.functions import dna
+from strandloom.operators import align
 from strandloom.session import BROADCAST_ROWS, cut, small_side
 
 #: Edits allowed against the true list, against the global list in k-mer search, and against it after mutation.
@@ -19,6 +24,23 @@ FREE = {"offensive": 10, "defensive": 5}
 _KEY = ["class_id", "raw", "expanded"]
 
 
+def infix_distance(a: str, b: str, most: int) -> Column:
+    """As dna.infix_distance, for whole Arrow batches of pairs; a pair costs about a microsecond instead of a hundred."""
+
+    @F.pandas_udf("int")
+    def run(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for x, y in parts:
+            pairs = [((p, q) if len(p) <= len(q) else (q, p)) if p and q else ("", "") for p, q in zip(x.tolist(), y.tolist())]
+            if not pairs:
+                yield pd.Series([], dtype="int32")
+                continue
+            d = align.infix_pairs([p for p, _ in pairs], [q for _, q in pairs]).astype(np.int32)
+            d[(d > most) | np.array([not p for p, _ in pairs])] = -1
+            yield pd.Series(d)
+
+    return run.asNondeterministic()(F.col(a), F.col(b))
+
+
 def assign_roles(lists: DataFrame, spec: str = "spec") -> DataFrame:
     """Roles by size per class: one list is global from 100,000 entries on, else true; of two, the smaller is true and
     the larger global, both true if as large. Columns in: class_id, ``spec``, barcode; out: class_id, role, barcode."""
@@ -92,7 +114,7 @@ def kmer_candidates(observed: DataFrame, lists: DataFrame, most: int, small: boo
     n = F.length("raw")
     at = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("expanded") - n + 1))
     parts = observed.withColumn("barcode", F.explode(F.array_distinct(F.transform(at, lambda i: F.substring(F.col("expanded"), i, n)))))
-    near = parts.join(side(lists, small), ["class_id", "barcode"]).withColumn("dist", dna.infix_distance("raw", "barcode", most))
+    near = parts.join(side(lists, small), ["class_id", "barcode"]).withColumn("dist", infix_distance("raw", "barcode", most))
     return near.where("dist >= 0").select(*_KEY, F.col("barcode").alias("candidate"), "dist")
 
 
@@ -114,7 +136,7 @@ def seed_candidates(observed: DataFrame, lists: DataFrame, most: int = TRUE_EDIT
     pieces = F.flatten(F.array(*(dna.kmers(w, k) for k in sizes if k > 0)))
     open_ = observed.select(*_KEY).distinct().withColumn("seed", F.explode(F.array_distinct(pieces)))
     pairs = open_.join(side(parts, small), ["class_id", "seed"]).select(*_KEY, "barcode").distinct()
-    near = pairs.withColumn("dist", dna.infix_distance(window, "barcode", most)).where("dist >= 0")
+    near = pairs.withColumn("dist", infix_distance(window, "barcode", most)).where("dist >= 0")
     return near.select(*_KEY, F.col("barcode").alias("candidate"), "dist")
 
 
@@ -126,7 +148,7 @@ def mutation_candidates(observed: DataFrame, lists: DataFrame, radius: int, most
     parts = lambda df, c: df.withColumn("s", F.explode(_seeds(F.col(c), radius + 1))).withColumn("size", F.length(c)).select("*", "s.part", "s.seed").drop("s")
     pairs = parts(observed.select(*_KEY).distinct(), "raw").join(side(parts(lists, "barcode"), small), ["class_id", "size", "part", "seed"])
     near = pairs.select(*_KEY, "barcode").distinct().where((dna.hamming("raw", "barcode") <= radius) & (F.col("raw") != F.col("barcode")))
-    near = near.withColumn("dist", dna.infix_distance("expanded", "barcode", most)).where("dist >= 0")
+    near = near.withColumn("dist", infix_distance("expanded", "barcode", most)).where("dist >= 0")
     return near.select(*_KEY, F.col("barcode").alias("candidate"), "dist")
 
 
