@@ -73,11 +73,33 @@ def classify(located: DataFrame, least: int, bulk: bool = False) -> DataFrame:
     return out.withColumn("read_type", read_type(n("forward"), n("reverse")))
 
 
+def kept_positions(seq: Column, spans: Column, start: Column, stop: Column) -> Column:
+    """Positions of the window start to stop that no span covers and that hold no N."""
+    return F.filter(
+        F.sequence(start, stop), lambda i: (F.substring(seq, i, F.lit(1)) != "N") & ~F.exists(spans, lambda s: (i >= s["start"]) & (i <= s["stop"]))
+    )
+
+
+def at_positions(text: Column, positions: Column) -> Column:
+    return F.array_join(F.transform(positions, lambda i: F.substring(text, i, F.lit(1))), "")
+
+
 def masked_read(seq: Column, spans: Column, start: Column, stop: Column) -> Column:
     """The window start to stop of a read, without the bases that other elements cover and without any N."""
-    at = F.sequence(start, stop)
-    kept = F.filter(at, lambda i: (F.substring(seq, i, F.lit(1)) != "N") & ~F.exists(spans, lambda s: (i >= s["start"]) & (i <= s["stop"])))
-    return F.array_join(F.transform(kept, lambda i: F.substring(seq, i, F.lit(1))), "")
+    return at_positions(seq, kept_positions(seq, spans, start, stop))
+
+
+def clean_reads(elements: Column, seq: Column, qual: Column) -> Column:
+    """The elements with their read cut free of what other elements of the strand cover, and with ``qual`` of the read."""
+
+    def one(e: Column) -> Column:
+        others = F.filter(elements, lambda o: (o["direction"] == e["direction"]) & (o["global_class"] != "read") & (o["start"] > 0) & (o["stop"] > o["start"]))
+        kept = kept_positions(seq, F.transform(others, lambda o: F.struct(o["start"].alias("start"), o["stop"].alias("stop"))), e["start"], e["stop"])
+        is_read = (e["global_class"] == "read") & e["element_pass"]
+        text = F.when(is_read, at_positions(seq, kept)).otherwise(e["seq"])
+        return e.withField("seq", text).withField("qual", F.when(is_read & (F.length(qual) > 0), at_positions(qual, kept)))
+
+    return F.transform(elements, one)
 
 
 def counters(elements: DataFrame) -> DataFrame:

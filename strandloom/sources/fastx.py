@@ -9,7 +9,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 #: Suffixes of record files.
 SUFFIXES = (".fa", ".fasta", ".fq", ".fastq", ".fa.gz", ".fasta.gz", ".fq.gz", ".fastq.gz")
@@ -100,8 +100,8 @@ class _Reader(DataSourceReader):
             yield from _rows(partition.value, self.columns, self.limit)
 
 
-class _StreamReader(SimpleDataSourceStreamReader):
-    """New files of a folder, by name; the offset is the last name read."""
+class _StreamReader(DataSourceStreamReader):
+    """New files of a folder, by name, one task each; the offset is the last name there is."""
 
     def __init__(self, options: dict, columns: list[str]):
         self.path, self.columns = options["path"], columns
@@ -109,14 +109,18 @@ class _StreamReader(SimpleDataSourceStreamReader):
     def initialOffset(self) -> dict:
         return {"last": ""}
 
-    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        files = [f for f in record_files(self.path) if os.path.basename(f) > start["last"]]
-        end = {"last": os.path.basename(files[-1])} if files else start
-        return (r for f in files for r in _rows(f, self.columns, None)), end
+    def latestOffset(self) -> dict:
+        files = record_files(self.path)
+        return {"last": os.path.basename(files[-1]) if files else ""}
 
-    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        files = [f for f in record_files(self.path) if start["last"] < os.path.basename(f) <= end["last"]]
-        return (r for f in files for r in _rows(f, self.columns, None))
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        return [InputPartition(f) for f in record_files(self.path) if start["last"] < os.path.basename(f) <= end["last"]]
+
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        yield from _rows(partition.value, self.columns, None)
+
+    def commit(self, end: dict) -> None:
+        pass
 
 
 class FastxDataSource(DataSource):
@@ -137,7 +141,7 @@ class FastxDataSource(DataSource):
     def reader(self, schema) -> _Reader:
         return _Reader(dict(self.options), self._columns())
 
-    def simpleStreamReader(self, schema) -> _StreamReader:
+    def streamReader(self, schema) -> _StreamReader:
         return _StreamReader(dict(self.options), self._columns())
 
 
