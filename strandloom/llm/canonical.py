@@ -116,6 +116,8 @@ class ReferenceList:
         A mention with bases left over stands at one edit or more, where another entry may be as close; it goes on to
         the token sets with the rest.
         """
+        if not self.forms:
+            return None
         found = sorted(((end - n, n, e) for end, (n, e) in self.automaton.iter(bases)), key=lambda m: (-m[1], m[0]))
         return found[0][2] if found and found[0][1] == len(bases) else None
 
@@ -127,7 +129,7 @@ class ReferenceList:
         """
         out: list[tuple[int, str] | None] = [None] * len(bases)
         keep = [i for i, b in enumerate(bases) if b and min(self.lengths, default=99) - MAX_EDITS <= len(b) <= self.width + MAX_EDITS]
-        if not keep:
+        if not keep or not self.forms:
             return out
         codes, sizes = _codes([bases[i] for i in keep], max(3, self.width + MAX_EDITS))
         sets = _token_sets(codes)

@@ -57,11 +57,6 @@ def expand(cp: int) -> list[int]:
     return [ord(LOOKALIKES.get(ch, ch))]
 
 
-def _order(cp: int) -> int:
-    """Combining class; conjoining vowels and finals are taken as marks of the lowest class, so that they join what precedes."""
-    return 1 if 0x1161 <= cp < 0x1176 or 0x11A8 <= cp < 0x11C3 else unicodedata.combining(chr(cp))
-
-
 class _Table:
     """Grows with the distinct code points met; looked up by binary search, as a join of positions with a small table."""
 
@@ -77,7 +72,7 @@ class _Table:
         return n, np.concatenate([[0], np.cumsum(n)[:-1]]), np.array([x for r in rows for x in r], np.uint32)
 
     def order(self, cps: np.ndarray) -> np.ndarray:
-        return np.array([self.orders.get(c) if c in self.orders else self.orders.setdefault(c, _order(c)) for c in cps.tolist()], np.uint8)
+        return np.array([self.orders.get(c) if c in self.orders else self.orders.setdefault(c, unicodedata.combining(chr(c))) for c in cps.tolist()], np.uint8)
 
     def compose(self, pairs: np.ndarray) -> np.ndarray:
         """Composed code points of (starter, mark) pairs, 0 where there is none."""
@@ -91,6 +86,22 @@ class _Table:
         return np.array(out, np.uint32)
 
 
+def _join_syllables(new: np.ndarray, gone: np.ndarray, starts: np.ndarray) -> None:
+    """Conjoining letters that follow one another become syllable blocks, by their numbers."""
+    v = np.flatnonzero((new >= 0x1161) & (new < 0x1176))
+    v = v[(v > 0) & ~np.isin(v, starts)]
+    v = v[(new[v - 1] >= 0x1100) & (new[v - 1] < 0x1113)]
+    new[v - 1] = 0xAC00 + ((new[v - 1] - 0x1100) * 21 + new[v] - 0x1161) * 28
+    gone[v] = True
+    t = np.flatnonzero((new >= 0x11A8) & (new < 0x11C3))
+    t = t[(t > 0) & ~np.isin(t, starts)]
+    before = t - 1 - gone[t - 1]
+    block = new[before].astype(np.int64) - 0xAC00
+    ok = (block >= 0) & (block < 11172) & (block % 28 == 0)
+    new[before[ok]] += new[t[ok]] - 0x11A7
+    gone[t[ok]] = True
+
+
 def uniform(texts: list[str], table: _Table | None = None) -> list[str]:
     """The one form of each text."""
     table = table or _Table()
@@ -113,15 +124,16 @@ def uniform(texts: list[str], table: _Table | None = None) -> list[str]:
     for k in range(int(n.max(initial=0))):
         has = active[n[at] > k]
         new[first[has] + k] = flat[offset[at[n[at] > k]] + k]
+    gone = np.zeros(len(new), bool)
+    starts = np.concatenate([[0], doc_ends[:-1]])
+    _join_syllables(new, gone, starts)
     # marks: order by class within each run, then join with the starter before
     high = np.flatnonzero(new > 126)
     kinds, at = np.unique(new[high], return_inverse=True)
     classes = table.order(kinds)[at]
     marks = high[classes > 0]
     cls = classes[classes > 0]
-    gone = np.zeros(len(new), bool)
     if len(marks):
-        starts = np.concatenate([[0], doc_ends[:-1]])
         breaks = np.r_[True, np.diff(marks) != 1] | np.isin(marks, starts)
         run = np.cumsum(breaks) - 1
         order = np.lexsort((np.arange(len(marks)), cls, run))
@@ -139,7 +151,6 @@ def uniform(texts: list[str], table: _Table | None = None) -> list[str]:
                 break
             pos, c = head[live] + k, cls[lead[live] + k]
             free = blocked[live] < c
-            free |= (c == 1) & (blocked[live] == 0)
             pairs = (new[starter[live]].astype(np.int64) << 32) | new[pos]
             distinct, back = np.unique(pairs, return_inverse=True)
             joined = table.compose(distinct)[back]

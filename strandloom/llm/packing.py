@@ -100,6 +100,8 @@ def _fractional(lengths: np.ndarray, left: np.ndarray, capacity: int) -> list[tu
     A length's price starts at its share of the capacity, where every full container is worth the same, and falls with
     the part of it covered; so the next configuration draws on what is behind.
     """
+    if not len(lengths):
+        return []
     open_ = left.astype(float)
     step = max(1.0, float((lengths * left).sum()) / capacity / STEPS)
     out = []
