@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.session import small_side
+from strandloom.session import cut, small_side
 
 #: Symbols of a code word: DATA four-bit symbols of the value's fingerprint and CHECK parity symbols over GF(16).
 DATA, CHECK = 11, 4
@@ -230,7 +230,7 @@ def most_frequent(values: DataFrame, column: str, share: float, least_rows: int
     whole. Empty input gives an empty result. Ties at the threshold are all listed. Other columns are ignored.
     """
     rows = values.select(F.col(column).alias("item")).where(F.col("item").isNotNull())
-    candidates = sketch_heavy(rows, "item", share, groups)
+    candidates = cut(sketch_heavy(rows, "item", share, groups))  # a few hundred fingerprints, read twice
     prints = F.shiftrightunsigned(F.xxhash64("item"), 20)
     counted = rows.withColumn("print", prints).join(small_side(candidates, 100_000), "print", "left_semi").groupBy("item").agg(F.count(F.lit(1)).alias("n"))
     total = rows.count()
