@@ -84,3 +84,13 @@ def test_statistics():
             assert abs(stats.ztp_percentile(k, lam) - 100 * p) < 1e-6
     assert stats.ztp_percentile(0, 2) == 0 and stats.least_match_length(0, 5, 0.1) == -1
     assert stats.kmer_match_probability(10, 10, 11) == 0
+
+
+def test_sql_functions(spark):
+    from strandloom.functions.register import register
+
+    register(spark)
+    assert spark.sql("SELECT revcomp('ACGN'), encode_bases('AAACCTGAGAAACCAT'), decode_bases(23904338L, 16), distinct_kmers('AAAA', 2), homopolymer_end('ACGGGG', 4)").first() == (
+        "NCGT", 23904338, "AAACCTGAGAAACCAT", 1, True,
+    )
+    assert {r[0] for r in spark.sql("SELECT * FROM substitutions('AC')").collect()} == {"CC", "GC", "TC", "AA", "AG", "AT"}
