@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandloom.session import cut
+
 #: Letters of other scripts (or of phonetic alphabets) and the Latin letters they look like.
 LOOKALIKES = {
     # Cyrillic
@@ -206,7 +208,8 @@ def same_looking(docs: DataFrame, key: str, text: str) -> DataFrame:
     are joined on afterwards, so exact copies never meet each other. Null keys or texts give no pair.
     """
     shapes = uniform_texts(docs, key, text).where("key is not null and text is not null")
-    shapes = shapes.select("key", F.sha2("text", 256).alias("stored"), F.sha2("form", 256).alias("form"))
+    digest = lambda c: F.unhex(F.sha2(c, 256))
+    shapes = cut(shapes.select("key", digest("text").alias("stored"), digest("form").alias("form")))  # read three times below
     variants = shapes.groupBy("form").agg(F.min("stored").alias("lo"), F.max("stored").alias("hi")).where("lo <> hi").select("form")
     members = shapes.join(variants, "form", "left_semi")
     kinds = members.select("form", "stored").distinct()
