@@ -39,12 +39,19 @@ for _b in range(0x80, 0xA0):
 
 
 def _redecode(m: re.Match) -> str:
-    """A run of characters that are UTF-8 bytes read one by one is read again; others stay."""
+    """A run of characters that are UTF-8 bytes read one by one is read again; others stay.
+
+    What comes out must be Latin, Cyrillic, East Asian or punctuation; a soft hyphen after an accented letter looks like
+    two such bytes as well, so with one in the run only the most usual letters are believed.
+    """
     raw = b"".join(_BYTES.get(c, b"") for c in m[0])
     try:
-        return raw.decode("utf-8")
+        text = raw.decode("utf-8")
     except UnicodeDecodeError:
         return m[0]
+    most = 0x100 if "\xad" in m[0] else 0x250
+    fine = all(ord(c) < most or 0x400 <= ord(c) < 0x530 or 0x2000 <= ord(c) < 0x2700 or 0x3000 <= ord(c) < 0xA000 or ord(c) >= 0xFB00 for c in text)
+    return text if fine else m[0]
 
 
 def mend_encoding(text: str) -> str:

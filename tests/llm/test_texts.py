@@ -132,6 +132,9 @@ def test_wrong_encodings_are_mended():
     text = "Où as-tu laissé la théière, à côté du château brûlé où Émile dînait hélas déjà très tard"
     twice = text.encode().decode("latin-1")
     assert leak.mend_encoding(twice) == text and leak.mend_encoding(text) == text
+    for kept in ("Ü\xadber", "schließ\xaden", "É\xadcoute", "Ä\xadpfel"):
+        assert leak.mend_encoding(kept) == kept
+    assert leak.mend_encoding("AquÃ\xad") == "Aquí"
     v = leak.Words()
     assert v.split("gel�") == v.split("gelé") and v.split("rnesa ha11way bel0ngs Thc") == v.split("mesa hallway belongs The")
 
