@@ -155,7 +155,7 @@ def load_records(lines: DataFrame, line_id: str = "line_id", kind: str = "kind",
     lines give repeated rows. Lengths beyond a 64-bit integer keep their text and a null ``min_length``/``max_length``.
     There is no shuffle: a file holding a third of all lines is worked on batch by batch. Other columns are ignored.
     """
-    names = [f.split()[0] for f in SCHEMA.split(", ")]
+    kinds = dict(f.split() for f in SCHEMA.split(", "))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import duckdb
@@ -163,7 +163,13 @@ def load_records(lines: DataFrame, line_id: str = "line_id", kind: str = "kind",
         con = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "400MB"})
         for pdf in batches:
             if len(pdf):
-                yield _load_batch(con, pdf).reindex(columns=names)
+                out = _load_batch(con, pdf)
+                for n, kind in kinds.items():  # a batch of one kind lacks the other's fields
+                    if n not in out:
+                        out[n] = pd.Series([None] * len(out), dtype="Int64" if kind == "bigint" else "object", index=out.index)
+                    elif kind != "bigint":
+                        out[n] = out[n].astype("object").where(out[n].notna(), None)
+                yield out[list(kinds)]
         con.close()
 
     src = lines.select(F.col(line_id).cast("bigint").alias("line_id"), F.col(kind).alias("kind"), F.col(line).alias("line"))
