@@ -94,13 +94,14 @@ def burst_prefixes(rows: DataFrame) -> dict[str, set[str]]:
             at.where(F.length("term") > depth)
             .select("field", "term", levels.alias("k"))
             .groupBy("field", F.expr("substring(term, 1, k)").alias("prefix"))
-            .count()
-            .where(F.col("count") > most)
+            .agg(F.count(F.lit(1)).alias("n"), F.min("term").alias("first"), F.max("term").alias("last"))
+            .where((F.col("n") > most) & (F.col("first") != F.col("last")))  # the rows of a single term are one entry
+            .select("field", "prefix")
             .collect()
         )
-        for f, p, _ in heavy:
+        for f, p in heavy:
             burst.setdefault(f, set()).add(p)
-        deepest = [(f, p) for f, p, _ in heavy if len(p) == depth + STEP]
+        deepest = [(f, p) for f, p in heavy if len(p) == depth + STEP]
         if not deepest:
             return burst
         depth += STEP
