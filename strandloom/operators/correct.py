@@ -140,6 +140,33 @@ def seed_candidates(observed: DataFrame, lists: DataFrame, most: int = TRUE_EDIT
     return near.select(*_KEY, F.col("barcode").alias("candidate"), "dist")
 
 
+def _whole_pieces(c: Column, n: int, parts: int) -> list[Column]:
+    """Where the parts of an entry of length n may stand in c: structs of n, part and seed, null where none can."""
+    out, most, longer = [], parts - 1, F.length(c) - n
+    bounds = [n * k // parts for k in range(parts + 1)]
+    for k in range(parts):
+        size = bounds[k + 1] - bounds[k]
+        for off in range(-min(k, bounds[k]), k + 1):
+            at = bounds[k] + off
+            fits = (F.abs(longer - off) <= most - k) & (F.length(c) >= at + size)
+            out.append(F.when(fits, F.struct(F.lit(n).alias("size"), F.lit(k).alias("part"), F.substring(c, at + 1, size).alias("seed"))))
+    return out
+
+
+def whole_candidates(observed: DataFrame, lists: DataFrame, most: int, bc: str = "bc", ref: str = "ref") -> DataFrame:
+    """All pairs of a barcode and an entry within ``most`` edits as wholes: bc, ref, dist. Joined on parts, then verified.
+
+    Of an entry cut in most + 1 parts, one (k, from 0) is whole with k edits before it, so that it stands k places off at
+    most, and most - k edits at most behind it: the first part at which the edits so far fall below the parts so far.
+    """
+    parts = lists.select(ref, F.length(ref).alias("size"), F.explode(_seeds(F.col(ref), most + 1)).alias("s")).select(ref, "size", "s.part", "s.seed")
+    sizes = sorted(r[0] for r in parts.select("size").distinct().collect() if r[0] is not None)
+    pieces = F.array_compact(F.array(*(p for n in sizes for p in _whole_pieces(F.col(bc), n, most + 1))))
+    open_ = observed.select(bc, F.explode(F.array_distinct(pieces)).alias("p")).select(bc, "p.*") if sizes else observed.select(bc, F.lit(0).alias("size"), F.lit(0).alias("part"), F.lit("").alias("seed"))
+    near = open_.join(small_side(parts), ["size", "part", "seed"]).withColumn("dist", F.levenshtein(bc, ref, most)).where("dist >= 0")
+    return near.select(bc, ref, "dist").distinct()
+
+
 def mutation_candidates(observed: DataFrame, lists: DataFrame, radius: int, most: int, small: bool = False) -> DataFrame:
     """Entries within Hamming distance ``radius`` of the barcode and ``most`` edits inside the window.
 

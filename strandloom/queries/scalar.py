@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from strandloom.functions import dna, stats, tags
+from strandloom.operators import correct
 from strandloom.session import table
 
 QUERIES, SQL = {}, {}
@@ -119,8 +120,8 @@ SELECT bc, dist, count(*) AS n, string_agg(ref, ',' ORDER BY ref) AS refs FROM p
 def fn_ld_set(spark, d):
     seen = _scans(spark, d).where("barcode_1 is not null").select(F.col("barcode_1").alias("bc")).distinct()
     refs = _listed(spark, d).where("class_id = 'barcode'").select(F.col("barcode").alias("ref")).distinct()
-    near = seen.join(refs, F.left("bc", F.lit(4)) == F.left("ref", F.lit(4))).withColumn("dist", F.levenshtein("bc", "ref", 4))
-    return near.where("dist >= 0").groupBy("bc", "dist").agg(F.count(F.lit(1)).alias("n"), _joined(F.sort_array(F.collect_list("ref"))).alias("refs"))
+    near = correct.whole_candidates(seen, refs, 4)
+    return near.groupBy("bc", "dist").agg(F.count(F.lit(1)).alias("n"), _joined(F.sort_array(F.collect_list("ref"))).alias("refs"))
 
 
 _SUBS = """SELECT DISTINCT barcode, left(barcode, (i - 1)::INT) || b || substr(barcode, (i + 1)::INT) AS neighbour
