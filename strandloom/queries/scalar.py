@@ -172,7 +172,7 @@ def fn_ncpm(spark, d):
 @query(_COUNTS + """, k AS (SELECT barcode, least(n, 400) k FROM c), l AS (SELECT avg(k) lam FROM k)
 SELECT barcode, k, round(100 * list_sum(list_transform(range(1, k + 1), lambda i: exp(i * ln(lam) - lam - lgamma(i + 1)))) / (1 - exp(-lam)), 4) AS pct FROM k, l""")
 def fn_ztp(spark, d):
-    k = _counts(spark, d).select("barcode", F.least("n", F.lit(400)).alias("k"))
+    k = _counts(spark, d).select("barcode", F.col("n").alias("k"))
     rate = k.agg(F.avg("k").alias("lam"))
     return k.join(F.broadcast(rate)).select("barcode", "k", F.round(stats.zero_truncated_percentile("k", "lam"), 4).alias("pct"))
 

@@ -1,3 +1,4 @@
+import math
 import random
 
 from strandloom.queries import scalar
@@ -36,3 +37,16 @@ def test_candidate_sets_hold_all_entries_within_four_edits(spark, tmp_path):
     got = {(r.bc, r.dist): (r.n, r.refs) for r in scalar.fn_ld_set(spark, str(tmp_path)).collect()}
     assert got == {k: (len(v), ",".join(v)) for k, v in want.items()}
     assert any(s[:4] != r[:4] and len(r) > 8 for (s, _), v in want.items() for r in v)
+
+
+def test_percentiles_of_counts_far_above_the_rest(spark, tmp_path):
+    counts = {"A": 1, "C": 3, "G": 700, "T": 520, "AC": 640, "AG": 401, "AT": 2500}
+    rows = [(b, n - n // 3) for b, n in counts.items()] + [(b, n // 3) for b, n in counts.items()] + [(None, 9), ("CC", None)]
+    spark.createDataFrame(rows, "barcode string, n bigint").write.parquet(f"{tmp_path}/barcode_counts.parquet")
+    rate = sum(counts.values()) / len(counts)
+    got = {r.barcode: (r.k, r.pct) for r in scalar.fn_ztp(spark, str(tmp_path)).collect()}
+    assert {b: k for b, (k, _) in got.items()} == counts
+    for b, n in counts.items():
+        want = 100 * math.fsum(math.exp(i * math.log(rate) - rate - math.lgamma(i + 1)) for i in range(1, n + 1)) / -math.expm1(-rate)
+        assert abs(got[b][1] - want) < 1e-4, b
+    assert 10 < got["G"][1] < 90
