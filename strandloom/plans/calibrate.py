@@ -76,9 +76,14 @@ def prune_alike(layout: Layout) -> Layout:
     return Layout(tuple(e for e in layout.elements if e.class_id not in alike), layout.mode, layout.places)
 
 
-def calibrate(reads: DataFrame, layout: Layout, sample: int = SAMPLE) -> Layout:
-    """Layout with thresholds and regions from a bounded sample (the first ``sample`` reads), a documented parameter."""
-    hits = best_hits(reads.limit(sample), adapters_of(layout))
+def first_reads(reads: DataFrame, sample: int | None, key: str = "read_ord") -> DataFrame:
+    """The ``sample`` reads of the lowest ``key``, always the same ones; all for None."""
+    return reads if sample is None else reads.orderBy(key).limit(sample)
+
+
+def calibrate(reads: DataFrame, layout: Layout, sample: int | None = SAMPLE) -> Layout:
+    """Layout with thresholds and regions from the first ``sample`` reads by read_ord, or from all for None."""
+    hits = best_hits(first_reads(reads, sample), adapters_of(layout))
     stats = {}
     for r in calibration_stats(hits).collect():
         stats[r["class_id"]] = {
@@ -104,14 +109,15 @@ def masked_adapter(seq: str, counts: dict[int, dict[str, int]], run: int, total:
     return out
 
 
-def discover(reads: DataFrame, parts: list[tuple[str, str]], sample: int = 25_000, support: float = 0.5, least: int = 3) -> Layout:
+def discover(reads: DataFrame, parts: list[tuple[str, str]], sample: int | None = 25_000, support: float = 0.5, least: int = 3) -> Layout:
     """Layout of the parts that lie in the reads, in the order of their mean place, with the read between the ends.
 
     Parts are searched within 10 % of their length on both strands; a part is kept if at least ``support`` of the reads
-    with any part, and ``least``, have it; of parts at one place (within 1 %) the best seen stays.
+    with any part, and ``least``, have it; of parts at one place (within 1 %) the best seen stays. Only the first
+    ``sample`` reads by read_ord are looked at, or all for None.
     """
     both = [(n, s, "forward") for n, s in parts] + [(f"rc_{n}", revcomp(s), "reverse") for n, s in parts]
-    hits = best_hits(reads.limit(sample), both, ALIKE).where("start_pct is not null")
+    hits = best_hits(first_reads(reads, sample), both, ALIKE).where("start_pct is not null")
     rows = hits.groupBy(F.regexp_replace("class_id", "^rc_", "").alias("id")).agg(
         F.avg(F.when(F.col("direction") == "forward", F.col("start_pct")).otherwise(100 - F.col("stop_pct"))).alias("at"), F.count(F.lit(1)).alias("n")
     )

@@ -250,17 +250,17 @@ def lay_cal_stat(spark, d):
 
 @query()
 def lay_cal_apply(spark, d):
-    """Elements of the layout calibrated on the reads."""
-    done = calibrate.calibrate(_reads(spark, d), layout())
+    """Elements of the layout calibrated on all reads."""
+    done = calibrate.calibrate(_reads(spark, d), layout(), sample=None)
     rows = [(e.class_id, e.order, *(e.threshold or (None,) * 3), *(e.aligned or (None,) * 4)) for e in done.elements]
     return spark.createDataFrame(rows, "class_id string, ord int, least int, middle int, most int, start_mean double, start_sd double, stop_mean double, stop_sd double")
 
 
 @query()
 def lay_discover(spark, d):
-    """Layout found from a list of parts."""
+    """Layout found from a list of parts in all reads."""
     parts = [(e.class_id, e.seq) for e in layout().of("forward") if e.type == "static" and e.seq and not e.tail]
-    found = calibrate.discover(_reads(spark, d), [*parts, ("absent", "GATTACAGATTACAGATTACA")])
+    found = calibrate.discover(_reads(spark, d), [*parts, ("absent", "GATTACAGATTACAGATTACA")], sample=None)
     return spark.createDataFrame([(e.class_id, e.type, e.order, e.direction) for e in found.elements], "class_id string, type string, ord int, direction string")
 
 

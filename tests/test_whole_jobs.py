@@ -1,6 +1,10 @@
 import math
 import random
 
+from pyspark.sql import functions as F
+
+from strandloom.plans import calibrate
+from strandloom.queries import reads as read_queries
 from strandloom.queries import scalar
 
 
@@ -50,3 +54,21 @@ def test_percentiles_of_counts_far_above_the_rest(spark, tmp_path):
         want = 100 * math.fsum(math.exp(i * math.log(rate) - rate - math.lgamma(i + 1)) for i in range(1, n + 1)) / -math.expm1(-rate)
         assert abs(got[b][1] - want) < 1e-4, b
     assert 10 < got["G"][1] < 90
+
+
+def test_calibration_and_discovery_look_at_all_reads_or_the_first(spark, tmp_path, monkeypatch):
+    looked = []
+    best_hits = calibrate.best_hits
+    monkeypatch.setattr(calibrate, "best_hits", lambda r, *a: looked.append(r) or best_hits(r, *a))
+    lay, n = read_queries.layout(), 50_100
+    front, back = (lay.get(c).seq for c in ("forw_primer", "rev_primer"))
+    made = spark.range(n).select((F.lit(n) - F.col("id")).alias("read_ord"), F.col("id").cast("string").alias("read_id"), F.lit(None).cast("string").alias("comment"),
+                                 F.lit(front + "ACGTTGCA" * 5 + back).alias("seq"), F.lit(None).cast("string").alias("qual"), F.lit(False).alias("is_fastq"))
+    made.write.parquet(f"{tmp_path}/reads.parquet")
+    assert {"forw_primer", "rev_primer"} <= {r.class_id for r in read_queries.lay_discover(spark, str(tmp_path)).collect()}
+    assert {"forw_primer", "rev_primer"} <= {r.class_id for r in read_queries.lay_cal_apply(spark, str(tmp_path)).collect()}
+    assert [r.count() for r in looked] == [n, n]
+    looked.clear()
+    calibrate.calibrate(made, lay, sample=7)
+    calibrate.discover(made, [("forw_primer", front)], sample=7)
+    assert [sorted(x.read_ord for x in r.collect()) for r in looked] == [list(range(1, 8))] * 2
