@@ -100,15 +100,55 @@ def count(extracted: DataFrame, reference: DataFrame | None = None) -> DataFrame
     return counts.join(small_side(reference.select("barcode").distinct()), "barcode", "left_semi")
 
 
-def split_pairs(reads: DataFrame, adapter: str, first: DataFrame, second: DataFrame, umi: int = 9, offsets: tuple[int, int] = (0, 3), seq: str = "seq", key: str = "read_ord") -> DataFrame:
-    """Two adjoining barcodes behind adapter and UMI: the first hit by offset, then by length. Exact adapters.
+def _best_ends(adapter: str, most: int, seq: Column) -> Column:
+    """Struct of forward, the bases up to the end of the adapter's best place, and reverse, those before its reverse
+    complement's; null where more than ``most`` edits would be needed. Of equally good places the first."""
 
-    Windows of every offset and length are joined to the lists; a read's hits are ranked afterwards.
+    @F.pandas_udf("forward int, reverse int")
+    def find(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in parts:
+            texts = texts.tolist()
+            at: dict[bool, list] = {rc: [None] * len(texts) for rc in (False, True)}
+            some = sorted((i for i, t in enumerate(texts) if t), key=lambda i: len(texts[i]))
+            for lo in range(0, len(some), 2048):
+                part = some[lo : lo + 2048]
+                matrix, sizes = align.as_matrix([texts[i] for i in part])
+                for pattern, rc in ((adapter, False), (revcomp(adapter), True)):
+                    scores = align.infix_scores(pattern, matrix, wild_target=True)
+                    for k, i in enumerate(part):
+                        row = scores[k, : sizes[k]]
+                        stop, best = int(np.argmin(row)), int(row.min())
+                        if best <= most:
+                            at[rc][i] = align._start_of(pattern, texts[i], stop, best, True) if rc else stop + 1
+            yield pd.DataFrame({"forward": pd.array(at[False], "Int32"), "reverse": pd.array(at[True], "Int32")})
+
+    return find.asNondeterministic()(seq)
+
+
+def oriented_hits(reads: DataFrame, adapter: str, ratio: float = 0.3, seq: str = "seq", key: str = "read_ord") -> DataFrame:
+    """key, is_rc, s (the read in the adapter's direction) and adapter_end (bases of s up to its end).
+
+    With no edits allowed the forward hit, or else the reverse one; otherwise a row for the best hit of either strand.
     """
+    most = dna.max_edits(len(adapter), ratio)
+    if most:
+        hit = reads.select(key, seq, _best_ends(adapter, most, F.col(seq)).alias("hit"))
+        ends = [(F.lit(False), F.col(seq), F.col("hit.forward")), (F.lit(True), dna.revcomp(seq), F.length(seq) - F.col("hit.reverse"))]
+        both = hit.select(key, F.explode(F.array(*(F.struct(rc.alias("is_rc"), s.alias("s"), end.alias("adapter_end")) for rc, s, end in ends))).alias("h"))
+        return both.where("h.adapter_end is not null").select(key, "h.*")
     hit = reads.withColumn("hit", find_exact(F.col(seq), adapter)).where("hit is not null")
     oriented = F.when(F.col("hit.is_rc"), dna.revcomp(seq)).otherwise(F.col(seq))
     end = F.when(F.col("hit.is_rc"), F.length(seq) - F.col("hit.position")).otherwise(F.col("hit.position") + len(adapter))
-    base = hit.select(key, F.col("hit.is_rc").alias("is_rc"), oriented.alias("s"), end.alias("adapter_end"))
+    return hit.select(key, F.col("hit.is_rc").alias("is_rc"), oriented.alias("s"), end.alias("adapter_end"))
+
+
+def split_pairs(reads: DataFrame, adapter: str, first: DataFrame, second: DataFrame, umi: int = 9, offsets: tuple[int, int] = (0, 3), seq: str = "seq", key: str = "read_ord", ratio: float = 0.3) -> DataFrame:
+    """Two adjoining barcodes behind adapter and UMI: the first hit by offset, then by length; with edits allowed in the
+    adapter, the other strand is tried where no pair follows it.
+
+    Windows of every strand, offset and length are joined to the lists; a read's hits are ranked afterwards.
+    """
+    base = oriented_hits(reads, adapter, ratio, seq, key)
     lengths = lambda df: sorted(r[0] for r in df.select(F.length("barcode")).distinct().collect())
     n1, n2 = lengths(first), lengths(second)
     windows = [F.struct(F.lit(o).alias("o"), F.lit(a).alias("a"), F.lit(b).alias("b")) for o in range(offsets[0], offsets[1] + 1) for a in n1 for b in n2]
@@ -117,7 +157,7 @@ def split_pairs(reads: DataFrame, adapter: str, first: DataFrame, second: DataFr
     tried = tried.select(key, "is_rc", "adapter_end", "w", F.substring("s", at + 1, F.col("w.a")).alias("bc1"), F.substring("s", at + F.col("w.a") + 1, F.col("w.b")).alias("bc2"))
     one, two = (df.select(F.col("barcode").alias(c)).distinct() for df, c in ((first, "bc1"), (second, "bc2")))
     both = tried.join(small_side(one), "bc1", "left_semi").join(small_side(two), "bc2", "left_semi")
-    best = both.groupBy(key).agg(F.min_by(F.struct("is_rc", "adapter_end", "bc1", "bc2"), F.struct("w.o", "w.a", "w.b")).alias("x"))
+    best = both.groupBy(key).agg(F.min_by(F.struct("is_rc", "adapter_end", "bc1", "bc2"), F.struct("is_rc", "w.o", "w.a", "w.b")).alias("x"))
     return best.select(key, "x.*")
 
 

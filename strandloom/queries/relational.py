@@ -36,7 +36,7 @@ def _listed(spark, d, class_id=None, role=None):
 
 
 def _extracted(spark, d):
-    return scan.extract(_reads(spark, d), ADAPTER, 16, ratio=0)
+    return scan.extract(_reads(spark, d), ADAPTER, 16)
 
 
 _READS = "r AS (SELECT DISTINCT read_ord, read_id, comment, seq, qual, is_fastq FROM reads)"
@@ -257,10 +257,13 @@ WHERE anchor + o >= 1 AND anchor + o + m + k - 1 <= length(seq))
 SELECT read_ord, s0 AS "start", b1 AS barcode_1, b2 AS barcode_2 FROM t WHERE b1 IN (SELECT barcode FROM whitelist WHERE class_id = 'barcode_1') AND b2 IN (SELECT barcode FROM whitelist WHERE class_id = 'barcode_2')
 QUALIFY row_number() OVER (PARTITION BY read_ord ORDER BY i, m, k) = 1""")
 def jn_joint(spark, d):
-    """Two adjoining barcodes near the place where the layout expects them."""
-    at = _reads(spark, d).withColumn("anchor", F.instr("seq", ADAPTER) + 31).where(F.col("anchor") > 31)
+    """Two adjoining barcodes near the place where the layout expects them, the start in the direction of the adapter; on
+    the reverse strand where there are none on the forward one."""
+    at = scan.oriented_hits(_reads(spark, d), ADAPTER).select(F.struct("read_ord", "is_rc").alias("k"), F.col("s").alias("seq"), (F.col("adapter_end") + 10).alias("anchor"))
     lists = {c: _listed(spark, d, c) for c in ("barcode_1", "barcode_2")}
-    return correct.joint_chain(at, lists, {"barcode_1": [15, 16], "barcode_2": [14, 15]}, "anchor")
+    found = correct.joint_chain(at, lists, {"barcode_1": [15, 16], "barcode_2": [14, 15]}, "anchor", key="k")
+    best = found.groupBy("k.read_ord").agg(F.min_by(F.struct("start", "barcode_1", "barcode_2"), "k.is_rc").alias("b"))
+    return best.select("read_ord", "b.*")
 
 
 _PAIRS = "p AS (SELECT DISTINCT read_id, barcode_1 AS bc1, barcode_2 AS bc2 FROM extracted_bc WHERE barcode_1 IS NOT NULL AND barcode_2 IS NOT NULL)"

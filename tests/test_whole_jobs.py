@@ -4,8 +4,9 @@ import random
 from pyspark.sql import functions as F
 
 from strandloom.plans import calibrate
+from strandloom.plans.layout import revcomp
 from strandloom.queries import reads as read_queries
-from strandloom.queries import scalar
+from strandloom.queries import relational, scalar
 
 
 def brute_edits(a, b):
@@ -72,3 +73,23 @@ def test_calibration_and_discovery_look_at_all_reads_or_the_first(spark, tmp_pat
     calibrate.calibrate(made, lay, sample=7)
     calibrate.discover(made, [("forw_primer", front)], sample=7)
     assert [sorted(x.read_ord for x in r.collect()) for r in looked] == [list(range(1, 8))] * 2
+
+
+def test_pairs_and_scans_behind_an_adapter_with_errors(spark, tmp_path):
+    a = relational.ADAPTER
+    one, two, umi, tail = "ACGGTTCAGTCATGAC", "TTGCAGGACTAACCG", "ACACACACA", "GGTCA" * 6
+    damaged = a[:5] + "G" + a[6:11] + a[12:]
+    part = umi + one + two + tail
+    lone = a[:16] + "GG" + a[18:]
+    made = {1: "CC" + a + part, 2: "CC" + damaged + part, 3: revcomp("CC" + damaged + part), 4: "TT" + lone + "C" * 40 + revcomp(damaged + part), 5: "GGTCA" * 20, 6: None}
+    rows = [(i, f"r{i}", None, s, None, False) for i, s in made.items()]
+    spark.createDataFrame(rows, "read_ord bigint, read_id string, comment string, seq string, qual string, is_fastq boolean").write.parquet(f"{tmp_path}/reads.parquet")
+    lists = [("barcode_1", "true", one, 0), ("barcode_2", "true", two, 0), ("barcode", "true", "ACACACACAACGGTTC", 0)]
+    spark.createDataFrame(lists, "class_id string, role string, barcode string, ordinal int").write.parquet(f"{tmp_path}/whitelist.parquet")
+    d = str(tmp_path)
+    got = {r.read_ord: (r.is_rc, r.adapter_end, r.bc1, r.bc2) for r in relational.scan_split(spark, d).collect()}
+    assert got == {1: (False, 24, one, two), 2: (False, 23, one, two), 3: (True, 23, one, two), 4: (True, 21, one, two)}
+    assert [tuple(r) for r in relational.agg_pair(spark, d).select("bc1", "bc2", "n").collect()] == [(one, two, 4)]
+    assert {r.read_ord: (r.start, r.barcode_1, r.barcode_2) for r in relational.jn_joint(spark, d).collect()} == {1: (34, one, two), 2: (33, one, two), 3: (33, one, two), 4: (31, one, two)}
+    assert {r.read_ord for r in relational.scan_extract(spark, d).collect()} == {1, 2, 3, 4}
+    assert relational.scan_count(spark, d).first().n == 2
