@@ -141,6 +141,17 @@ def _observed(spark, d):
     return o.groupBy("class_id", "raw", "expanded").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _all_observed(spark, d):
+    """All barcodes, those with N too, and their windows, 4 bases more on either side. The table doesn't say by which
+    layout a row was read, and either list has some of either kind of row, so barcode_1 stands under both classes."""
+    e = table(spark, d, "extracted_bc", "sequence", "barcode_1", "barcode_2")
+    one = e.select(F.explode(F.array(F.lit("barcode"), F.lit("barcode_1"))).alias("class_id"), F.col("barcode_1").alias("raw"), "sequence", F.expr("locate(barcode_1, sequence)").alias("at"))
+    two = e.select(F.lit("barcode_2").alias("class_id"), F.col("barcode_2").alias("raw"), "sequence", F.expr("locate(barcode_2, sequence, coalesce(length(barcode_1), 0) + 1)").alias("at"))
+    o = one.unionByName(two).where("raw is not null")
+    window = F.when(F.col("at") > 0, dna.padded("sequence", F.col("at"), F.col("at") + F.length("raw") - 1, 4)).otherwise(F.col("raw"))
+    return o.select("class_id", "raw", window.alias("expanded")).groupBy("class_id", "raw", "expanded").agg(F.count(F.lit(1)).alias("n"))
+
+
 def _sides(spark, d):
     return correct.split_lists(_listed(spark, d))
 
@@ -148,7 +159,7 @@ def _sides(spark, d):
 @query(f"WITH {_SEEN} SELECT class_id, raw, expanded, min(c) AS candidate FROM (SELECT o.*, barcode c FROM o JOIN t USING (class_id) WHERE t.barcode = o.raw UNION ALL SELECT o.*, barcode FROM o JOIN t USING (class_id) WHERE t.barcode = reverse(translate(o.raw, 'ACGT', 'TGCA')) AND o.raw NOT IN (SELECT barcode FROM t WHERE class_id = 'barcode')) GROUP BY ALL")
 def jn_eq(spark, d):
     true, _ = _sides(spark, d)
-    return correct.exact(_observed(spark, d), true, "true_exact", True).select("class_id", "raw", "expanded", "candidate")
+    return correct.exact(_all_observed(spark, d), true, "true_exact", True).select("class_id", "raw", "expanded", "candidate")
 
 
 @query(f"WITH {_SEEN} SELECT raw, sum(n)::BIGINT AS n FROM o WHERE (class_id, raw) IN (SELECT (class_id, barcode) FROM t) GROUP BY 1")
@@ -177,7 +188,7 @@ SELECT class_id, raw, expanded, candidate FROM m WHERE levenshtein(raw, candidat
 def jn_kmer(spark, d):
     """True entries among the k-mers of the window, within two edits of the barcode."""
     true, _ = _sides(spark, d)
-    return correct.kmer_candidates(_observed(spark, d), true, 2).select("class_id", "raw", "expanded", "candidate")
+    return correct.kmer_candidates(_all_observed(spark, d), true, 2).select("class_id", "raw", "expanded", "candidate")
 
 
 @query(f"""WITH {_SEEN}, s AS (SELECT DISTINCT class_id, raw, expanded FROM o), c AS (SELECT s.*, barcode AS candidate FROM s JOIN t USING (class_id)
@@ -187,7 +198,7 @@ SELECT * FROM m WHERE dist <= 2""")
 def jn_seed(spark, d):
     """True entries within two edits inside the window, found by their parts."""
     true, _ = _sides(spark, d)
-    return correct.seed_candidates(_observed(spark, d), true).select("class_id", "raw", "expanded", "candidate", "dist")
+    return correct.seed_candidates(_all_observed(spark, d), true).select("class_id", "raw", "expanded", "candidate", "dist")
 
 
 @query(f"""WITH {_SEEN}, s AS (SELECT DISTINCT raw FROM o), p AS (SELECT raw, barcode, levenshtein(raw, barcode) dist FROM s, (SELECT barcode FROM t WHERE class_id = 'barcode') WHERE abs(length(raw) - length(barcode)) <= 2),
@@ -196,16 +207,16 @@ SELECT raw, candidate, dist FROM b WHERE k = 1 AND c = 1""")
 def jn_theta(spark, d):
     """The only nearest true entry within two edits of the whole barcode, by parts instead of a nested loop."""
     true, _ = _sides(spark, d)
-    seen = _observed(spark, d).select("class_id", "raw", F.col("raw").alias("expanded")).distinct()
+    seen = _all_observed(spark, d).select("class_id", "raw", F.col("raw").alias("expanded")).distinct()
     near = correct.seed_candidates(seen, true, small=False, most=2).withColumn("dist", F.levenshtein("raw", "candidate", 2)).where("dist >= 0")
-    return correct.nearest(near, "theta").select("raw", "candidate", "dist")
+    return correct.nearest(near, "theta").select("class_id", "raw", "candidate", "dist")
 
 
 @query(f"""WITH {_SEEN}, s AS (SELECT DISTINCT class_id, raw FROM o) SELECT raw, barcode AS candidate FROM s JOIN t USING (class_id) WHERE length(raw) = length(barcode) AND raw <> barcode AND hamming(raw, barcode) <= 2""")
 def jn_mut(spark, d):
     true, _ = _sides(spark, d)
-    seen = _observed(spark, d).select("class_id", "raw", F.col("raw").alias("expanded")).distinct()
-    return correct.mutation_candidates(seen, true, 2, 4).select("raw", "candidate").distinct()
+    seen = _all_observed(spark, d).select("class_id", "raw", F.col("raw").alias("expanded")).distinct()
+    return correct.mutation_candidates(seen, true, 2, 4).select("class_id", "raw", "candidate").distinct()
 
 
 _CAND = f"""WITH {_SEEN}, s AS (SELECT DISTINCT class_id, raw FROM o), x AS (SELECT class_id, raw c, sum(n) raw_n FROM o GROUP BY 1, 2),
@@ -219,17 +230,17 @@ k AS (SELECT *, min(dist) OVER (PARTITION BY raw) least, count(*) OVER (PARTITIO
 def jn_tie(spark, d):
     """One candidate wins; of several, the only one at the least distance at which any was seen exactly."""
     true, _ = _sides(spark, d)
-    seen = _observed(spark, d)
+    seen = _all_observed(spark, d)
     plain = seen.select("class_id", "raw", F.col("raw").alias("expanded")).distinct()
     cands = correct.mutation_candidates(plain, true, 2, 4).withColumn("dist", dna.hamming("raw", "candidate"))
     raw_n = seen.groupBy("class_id", F.col("raw").alias("candidate")).agg(F.sum("n").alias("raw_n"))
-    return correct.adjudicate(cands, raw_n, "tie").select("raw", "candidate", "dist")
+    return correct.adjudicate(cands, raw_n, "tie").select("class_id", "raw", "candidate", "dist")
 
 
 @query()
 def jn_correct(spark, d):
     """The whole ladder."""
-    return correct.correct(_observed(spark, d), _listed(spark, d).where("class_id = 'barcode'"), filters=correct.adapter_kmers([ADAPTER], 16))
+    return correct.correct(_all_observed(spark, d), _listed(spark, d), filters=correct.adapter_kmers([ADAPTER], 16))
 
 
 _EL = """e AS (SELECT DISTINCT elem_id, read_ord, run_id, class_id, global_class, type, ord, direction, edit_distance, "start", stop, element_pass, write, seq, qual, original_seq FROM elements)"""

@@ -93,3 +93,19 @@ def test_pairs_and_scans_behind_an_adapter_with_errors(spark, tmp_path):
     assert {r.read_ord: (r.start, r.barcode_1, r.barcode_2) for r in relational.jn_joint(spark, d).collect()} == {1: (34, one, two), 2: (33, one, two), 3: (33, one, two), 4: (31, one, two)}
     assert {r.read_ord for r in relational.scan_extract(spark, d).collect()} == {1, 2, 3, 4}
     assert relational.scan_count(spark, d).first().n == 2
+
+
+def test_correction_takes_all_barcodes_of_all_classes(spark, tmp_path):
+    b, one, two = "ACGGTTCAGTCATGAC", "GATCCATGCAATTCGA", "TTGCAGGACTAACCG"
+    damaged, longer = one[:7] + "N" + one[8:], b[:9] + "G" + b[9:]
+    rows = [(b + "ACGTACGTACGT", b, None), (b[:5] + "N" + b[6:] + "ACGTACGTACGT", b[:5] + "N" + b[6:], None), (longer + "ACGTACGTACGT", longer, None),
+            (one + two, one, two), (damaged + two[:4] + "C" + two[5:], damaged, two[:4] + "C" + two[5:]), (b + two, b, two), (None, "NNNNNNNNNNNNNNNN", None), ("ACGT", None, None)]
+    spark.createDataFrame([("r", s, 0, False, x, y) for s, x, y in rows], "read_id string, sequence string, pos int, is_rc boolean, barcode_1 string, barcode_2 string").write.parquet(f"{tmp_path}/extracted_bc.parquet")
+    spark.createDataFrame([(c, "true", x, 0) for c, x in (("barcode", b), ("barcode_1", one), ("barcode_2", two))], "class_id string, role string, barcode string, ordinal int").write.parquet(f"{tmp_path}/whitelist.parquet")
+    out = relational.jn_correct(spark, str(tmp_path)).collect()
+    got = {(r.class_id, r.raw): r.corrected for r in out if r.corrected}
+    assert got == {("barcode", b): b, ("barcode", rows[1][1]): b, ("barcode", longer): b, ("barcode_1", one): one, ("barcode_1", damaged): one, ("barcode_2", two): two, ("barcode_2", rows[4][2]): two}
+    for c, i in (("barcode", 1), ("barcode_1", 1), ("barcode_2", 2)):
+        assert {r.raw for r in out if r.class_id == c} == {r[i] for r in rows if r[i]} and sum(r.n for r in out if r.class_id == c) == sum(bool(r[i]) for r in rows)
+    assert {r.expanded for r in out if r.raw == longer} == {longer + "ACGT"} and {r.expanded for r in out if r.raw == two} == {one[-4:] + two, b[-4:] + two}
+    assert {(r.class_id, r.raw, r.candidate) for r in relational.jn_theta(spark, str(tmp_path)).collect()} >= {("barcode", rows[1][1], b), ("barcode_1", damaged, one)}
