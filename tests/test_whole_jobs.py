@@ -3,6 +3,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from strandloom.operators import locate
 from strandloom.plans import calibrate
 from strandloom.plans.layout import revcomp
 from strandloom.queries import reads as read_queries
@@ -109,3 +110,11 @@ def test_correction_takes_all_barcodes_of_all_classes(spark, tmp_path):
         assert {r.raw for r in out if r.class_id == c} == {r[i] for r in rows if r[i]} and sum(r.n for r in out if r.class_id == c) == sum(bool(r[i]) for r in rows)
     assert {r.expanded for r in out if r.raw == longer} == {longer + "ACGT"} and {r.expanded for r in out if r.raw == two} == {one[-4:] + two, b[-4:] + two}
     assert {(r.class_id, r.raw, r.candidate) for r in relational.jn_theta(spark, str(tmp_path)).collect()} >= {("barcode", rows[1][1], b), ("barcode_1", damaged, one)}
+
+
+def test_adapters_in_lower_case_are_aligned_as_those_in_upper_case():
+    lay = read_queries.layout()
+    cut_off = lay.get("rev_primer").seq[:11]
+    body = lay.get("forw_primer").seq + "ACGTTGCA" * 8
+    spans = [[(x["class_id"], x["start"], x["stop"]) for x in locate.locate_reads(lay, [body + end])[0] if x["class_id"] == "rev_primer"] for end in (cut_off, cut_off.lower())]
+    assert spans[0] == spans[1] == [("rev_primer", len(body) + 1, len(body) + 11)]
