@@ -63,6 +63,12 @@ def _bare(line: str) -> str:
     return line[:-1] if line.endswith("\r") else line
 
 
+def field(line: str | None, at: int) -> str | None:
+    """One field of a record by the exact grammar; None where there is none or the quoting is broken."""
+    fields = split_record(_bare(line)) if line is not None else None
+    return fields[at] if fields and at < len(fields) else None
+
+
 def _read_file(con, lines: dict[int, str], width: int) -> tuple[dict[int, list[str]], set[int]]:
     """Read the lines as one CSV file with reject tables. Rows by position, and positions named by a reject."""
     names = [f"f{i}" for i in range(width)]

@@ -27,6 +27,16 @@ def length_candidates(spec: str | None) -> list[int]:
     return [n for n in range(min(a, b), max(a, b) + 1) if n > 0]
 
 
+def length_bounds(spec: str | None) -> tuple[int | None, int | None, int | None]:
+    """Number, least and most of ``length_candidates``, without writing them out; nulls beyond a 64-bit integer."""
+    m = re.fullmatch(r"\s*(\d+)\s*(?:-\s*(\d+)\s*)?", spec or "")
+    a, b = sorted((int(m[1]), int(m[2] or m[1]))) if m else (0, 0)
+    a = max(a, 1)
+    if b < a:
+        return 0, None, None
+    return (b - a + 1, a, b) if b < 2**63 else (None, None, None)
+
+
 @dataclass(frozen=True)
 class Ref:
     """A position beside another element: its first or last base plus an offset."""

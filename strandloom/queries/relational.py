@@ -4,8 +4,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from strandloom.functions import dna
-from strandloom.operators import correct, reformat, scan
-from strandloom.plans.layout import length_candidates
+from strandloom.operators import correct, reformat, rejects, scan
+from strandloom.plans.layout import length_bounds
 from strandloom.session import small_side, table
 from strandloom.sources import whitelists
 
@@ -364,12 +364,9 @@ def agg_run(spark, d):
 
 @query("SELECT line_id, len(f) AS n, f[1] AS least, f[-1] AS most FROM (SELECT line_id, CASE WHEN regexp_full_match(x, '\\d+') THEN list_filter([x::BIGINT], lambda v: v > 0) WHEN regexp_full_match(x, '\\d+-\\d+') THEN list_filter(range(least(split_part(x, '-', 1)::BIGINT, split_part(x, '-', 2)::BIGINT), greatest(split_part(x, '-', 1)::BIGINT, split_part(x, '-', 2)::BIGINT) + 1), lambda v: v > 0) ELSE [] END f FROM (SELECT line_id, split_part(line, ',', 3) x FROM raw_lines WHERE kind = 'layout') WHERE length(x) < 6)")
 def lay_len(spark, d):
-    """Lengths that a layout's length field allows."""
-    parse = F.udf(lambda x: length_candidates(x), "array<bigint>")
-    rows = table(spark, d, "raw_lines").where("kind = 'layout'").select("line_id", F.split("line", ",").alias("f"))
-    x = F.coalesce(F.get("f", F.lit(2)), F.lit(""))
-    rows = rows.withColumn("x", x).where(F.length("x") < 6).withColumn("l", parse("x"))
-    return rows.select("line_id", F.size("l").cast("bigint").alias("n"), F.get("l", F.lit(0)).alias("least"), F.get("l", F.size("l") - 1).alias("most"))
+    """Lengths that a layout's length field allows; none for a bad one or a record that can't be read."""
+    parse = F.udf(lambda x: length_bounds(rejects.field(x, 2)), "n bigint, least bigint, most bigint").asNondeterministic()
+    return table(spark, d, "raw_lines").where("kind = 'layout'").select("line_id", parse("line").alias("l")).select("line_id", "l.*")
 
 
 _TOKENS = "k AS (SELECT DISTINCT upper(trim(split_part(barcode, ',', 1))) t FROM barcode_entry WHERE barcode IS NOT NULL)"

@@ -118,3 +118,11 @@ def test_adapters_in_lower_case_are_aligned_as_those_in_upper_case():
     body = lay.get("forw_primer").seq + "ACGTTGCA" * 8
     spans = [[(x["class_id"], x["start"], x["stop"]) for x in locate.locate_reads(lay, [body + end])[0] if x["class_id"] == "rev_primer"] for end in (cut_off, cut_off.lower())]
     assert spans[0] == spans[1] == [("rev_primer", len(body) + 1, len(body) + 11)]
+
+
+def test_lengths_of_all_layout_rows(spark, tmp_path):
+    lines = {1: "a,,16,variable,barcode,,", 2: 'b,"",\"15-16\",variable,barcode,,', 3: '"x,y",,100-200,variable,umi,,', 4: "c,,sixteen,variable,umi,,", 5: "d,,9-1000000000000,variable,umi,,", 6: 'e,"open,16', 7: "f", 8: "\ufeffg,,12", 9: None}
+    spark.createDataFrame([(i, "layout", x) for i, x in lines.items()] + [(99, "read", "a,,16")], "line_id bigint, kind string, line string").write.parquet(f"{tmp_path}/raw_lines.parquet")
+    got = {r.line_id: (r.n, r.least, r.most) for r in relational.lay_len(spark, str(tmp_path)).collect()}
+    none = (0, None, None)
+    assert got == {1: (1, 16, 16), 2: (2, 15, 16), 3: (101, 100, 200), 4: none, 5: (999999999992, 9, 1000000000000), 6: none, 7: none, 8: (1, 12, 12), 9: none}
