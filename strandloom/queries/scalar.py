@@ -109,8 +109,8 @@ w AS (SELECT a, b, CASE WHEN length(a) <= length(b) THEN a ELSE b END s, CASE WH
 m AS (SELECT a, b, min(levenshtein(s, substr(l, i::INT, n::INT))) dist FROM w, range(1, 33) t(i), range(-2, 3) u(k), LATERAL (SELECT length(s) + k n) WHERE i <= length(l) GROUP BY a, b)
 SELECT a, b, CASE WHEN dist <= 2 THEN dist ELSE -1 END AS dist FROM m""")
 def fn_ld_part(spark, d):
-    found = _scans(spark, d).where("length(barcode_1) >= 8 and length(sequence) >= 20")
-    pairs = found.select(F.col("barcode_1").alias("a"), F.substring("sequence", 5, 16).alias("b")).distinct()
+    found = _scans(spark, d).where("barcode_1 is not null and sequence is not null")
+    pairs = found.select(F.col("barcode_1").alias("a"), F.col("sequence").alias("b")).distinct()
     return pairs.withColumn("dist", dna.infix_distance("a", "b", 2))
 
 

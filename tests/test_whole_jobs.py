@@ -126,3 +126,10 @@ def test_lengths_of_all_layout_rows(spark, tmp_path):
     got = {r.line_id: (r.n, r.least, r.most) for r in relational.lay_len(spark, str(tmp_path)).collect()}
     none = (0, None, None)
     assert got == {1: (1, 16, 16), 2: (2, 15, 16), 3: (101, 100, 200), 4: none, 5: (999999999992, 9, 1000000000000), 6: none, 7: none, 8: (1, 12, 12), 9: none}
+
+
+def test_barcodes_are_searched_in_whole_sequences(spark, tmp_path):
+    b = "ACGGTTCAGTCATGAC"
+    pairs = [(b, b + "TTTTTTTTTTTT"), (b, "TTTTTTTTTTTTTTTT" + b), (b, "GG" + b[:7] + "T" + b[8:]), ("ACG", "TTACGTT"), (b, b[2:12]), (b, "TTTTTTTTTTTTTTTTTTTTTTTT")]
+    spark.createDataFrame([("r", s, 0, False, x, None) for x, s in [*pairs, (None, b), (b, None)]], "read_id string, sequence string, pos int, is_rc boolean, barcode_1 string, barcode_2 string").write.parquet(f"{tmp_path}/extracted_bc.parquet")
+    assert {(r.a, r.b): r.dist for r in scalar.fn_ld_part(spark, str(tmp_path)).collect()} == dict(zip(pairs, (0, 0, 1, 0, 0, -1)))
