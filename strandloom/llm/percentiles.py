@@ -2,25 +2,30 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 #: Size of a compactor's section. A compactor holds 2 * SECTIONS * K values at first and never compacts its upper half.
 K = 64
 SECTIONS = 3
 #: Stated bound: for the value given as the p-th percentile of n values, the true rank is off by at most
-#: ERROR * (1 - p) * n + 1 with probability 0.99 and more, so the error vanishes towards the upper tail. Measured by
-#: tests/llm/test_percentiles.py over merged parts.
+#: ERROR * min(p, 1 - p) * n + 1 with probability 0.99 and more, so the error vanishes towards both tails. Held against
+#: exact ranks by tests/llm/test_sketches.py and, over all rows of the tables, by the query p1_rank_check.
 ERROR = 0.02
 
 #: Values gathered before they enter the sketches.
 HELD = 1 << 19
+#: Kept values of a task's open sketches from which they are passed on, to be merged with later ones of their group.
+OPEN_VALUES = 4_000_000
+#: Sets of parts that ``sketch_sets`` covers are joined to a name by this.
+JOINT = ","
 
 
 class RelativeSketch:
@@ -107,68 +112,211 @@ class RelativeSketch:
 
     def to_bytes(self) -> bytes:
         head = struct.pack("<QQddI", self.n, self.seed, self.low, self.high, len(self.levels))
-        parts = [struct.pack("<QI", s, len(v)) + v.tobytes() for s, v in zip(self.states, self.levels)]
-        return head + b"".join(parts)
+        parts = [head]
+        for state, values in zip(self.states, self.levels):
+            kind = _narrowest(values)
+            parts += [struct.pack("<QIB", state, len(values), _KINDS.index(kind)), values.astype(kind).tobytes()]
+        return b"".join(parts)
 
     @classmethod
-    def from_bytes(cls, blob: bytes) -> RelativeSketch:
+    def read(cls, blob: bytes, at: int = 0) -> tuple[RelativeSketch, int]:
         out = cls()
-        out.n, out.seed, out.low, out.high, levels = struct.unpack_from("<QQddI", blob)
-        out.levels, out.states, at = [], [], struct.calcsize("<QQddI")
+        out.n, out.seed, out.low, out.high, levels = struct.unpack_from("<QQddI", blob, at)
+        out.levels, out.states, at = [], [], at + struct.calcsize("<QQddI")
         for _ in range(levels):
-            state, size = struct.unpack_from("<QI", blob, at)
-            at += struct.calcsize("<QI")
+            state, size, kind = struct.unpack_from("<QIB", blob, at)
+            at += struct.calcsize("<QIB")
             out.states.append(state)
-            out.levels.append(np.frombuffer(blob, float, size, at))
-            at += 8 * size
+            out.levels.append(np.frombuffer(blob, _KINDS[kind], size, at).astype(float))
+            at += size * np.dtype(_KINDS[kind]).itemsize
+        return out, at
+
+    @classmethod
+    def from_bytes(cls, blob: bytes) -> RelativeSketch:
+        return cls.read(blob)[0]
+
+
+#: How kept values are written: the narrowest of these that holds them all unchanged.
+_KINDS = ("<i1", "<i2", "<i4", "<f8")
+
+
+def _narrowest(values: np.ndarray) -> str:
+    if not len(values):
+        return "<i1"
+    low, high = values.min(), values.max()
+    if -(1 << 31) <= low and high < 1 << 31 and not (values % 1).any() and not np.signbit(values[values == 0]).any():
+        return "<i1" if -128 <= low and high < 128 else "<i2" if -32768 <= low and high < 32768 else "<i4"
+    return "<f8"
+
+
+class TwoTailSketch:
+    """Two stacks of compactors, one over the values and one over the negated values, so that either tail is protected.
+
+    Percentiles from the median up are read from the first, those below from the second. While nothing has been
+    compacted, both would hold the same values; then only the first is kept.
+    """
+
+    __slots__ = ("upper", "lower")
+
+    def __init__(self, seed: int = 1):
+        self.upper = RelativeSketch(seed)
+        self.lower: RelativeSketch | None = None
+
+    @property
+    def n(self) -> int:
+        return self.upper.n
+
+    def held(self) -> int:
+        return sum(map(len, self.upper.levels)) * (2 if self.lower else 1)
+
+    def _split(self) -> RelativeSketch:
+        """The lower stack, made from the plain values where there was none yet."""
+        if self.lower is None:
+            self.lower = RelativeSketch(self.upper.seed ^ 0x9E3779B97F4A7C15)
+            self.lower.add(-self.upper.levels[0])
+        return self.lower
+
+    def add(self, values: np.ndarray) -> None:
+        if self.lower is None and len(self.upper.levels[0]) + len(values) >= 2 * SECTIONS * K:
+            self._split()
+        if self.lower is not None:
+            self.lower.add(-values)
+        self.upper.add(values)
+
+    def merge(self, other: TwoTailSketch) -> None:
+        if other.lower is None:
+            self.add(other.upper.levels[0])
+        else:
+            self._split().merge(other.lower)
+            self.upper.merge(other.upper)
+
+    def quantiles(self, shares: list[float]) -> list[float | None]:
+        if self.lower is None or not self.n:
+            return self.upper.quantiles(shares)
+        high = self.upper.quantiles(shares)
+        # the value of rank r from below is the one of rank n - r + 1 among the negated
+        n = self.n
+        turned = [(n - max(1, math.ceil(s * n - 1e-9)) + 1) / n for s in shares]
+        low = [-v for v in self.lower.quantiles(turned)]
+        return [h if s >= 0.5 else self.upper.low if s <= 0 else v for s, h, v in zip(shares, high, low)]
+
+    def to_bytes(self) -> bytes:
+        return self.upper.to_bytes() + (self.lower.to_bytes() if self.lower else b"")
+
+    @classmethod
+    def from_bytes(cls, blob: bytes) -> TwoTailSketch:
+        out = cls()
+        out.upper, at = RelativeSketch.read(blob)
+        if at < len(blob):
+            out.lower = RelativeSketch.read(blob, at)[0]
         return out
 
 
-def sketches(rows: DataFrame, groups: list[str], columns: list[str], seed: int = 7) -> DataFrame:
-    """One partial sketch per partition, group and column: ``groups``, column, sketch. Nothing is shuffled.
+def _seed(*parts: object) -> int:
+    """Coins of different tasks, groups and columns are independent, and the same when a task is run again."""
+    return int.from_bytes(hashlib.blake2b(repr(parts).encode(), digest_size=8).digest(), "little")
+
+
+def _task() -> int:
+    context = TaskContext.get()
+    return context.partitionId() if context else 0
+
+
+def _types(df: DataFrame, names: list[str]) -> str:
+    return ", ".join(f"`{n}` {df.schema[n].dataType.simpleString()}" for n in names)
+
+
+class _Open:
+    """The open sketches of a task by group and column, passed on once they hold more than OPEN_VALUES values."""
+
+    def __init__(self, seed: int):
+        self.sketches: dict[tuple, TwoTailSketch] = {}
+        self.values, self.seed = 0, seed
+
+    def at(self, key: tuple) -> TwoTailSketch:
+        got = self.sketches.get(key)
+        if got is None:
+            got = self.sketches[key] = TwoTailSketch(_seed(self.seed, _task(), key))
+        return got
 
-    Nulls and NaN are left out (a group with none else gives no row); null group keys form groups of their own.
+    def full(self) -> bool:
+        return self.values > OPEN_VALUES
+
+    def drain(self, names: list[str]) -> Iterator[pd.DataFrame]:
+        rows = [(*key, s.to_bytes()) for key, s in self.sketches.items()]
+        self.sketches.clear()
+        self.values = 0
+        for lo in range(0, len(rows), 5000):
+            yield pd.DataFrame(rows[lo : lo + 5000], columns=names, dtype=object)
+
+
+def sketch_sets(rows: DataFrame, groups: list[str], parts: list[str], columns: list[str], sets: list[tuple[str, ...]], seed: int = 7) -> DataFrame:
+    """Partial sketches of each partition for several sets of parts at once, as grouping sets: ``groups``, scope, ``parts``,
+    column, sketch. Nothing is shuffled.
+
+    ``sets`` names the parts (days, runs, files) that a scope keeps apart; scope is their names joined by a comma, 'all'
+    for none, and parts not kept apart are null. Nulls and NaN are left out (a group with none else gives no row); null
+    keys form groups of their own. A group may come out more than once per partition, to be merged.
     """
+    keys = [*groups, *parts]
+    names = [*groups, "scope", *parts, "column", "sketch"]
+    scopes = [(JOINT.join(s) or "all", [*groups, *s]) for s in sets]
 
     def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
         n = 0
-        open_: dict[tuple, RelativeSketch] = {}
+        open_ = _Open(seed)
 
         def flush() -> None:
             pdf = pd.concat(held, ignore_index=True)
             held.clear()
-            keys = pdf.groupby(groups, sort=False, dropna=False).ngroup().to_numpy()
-            order = np.argsort(keys, kind="stable")
-            starts = np.flatnonzero(np.r_[True, np.diff(keys[order]) != 0])
-            names = pdf[groups].iloc[order[starts]].itertuples(index=False, name=None)
-            for name, at in zip(names, np.split(order, starts[1:])):
-                name = tuple(None if pd.isna(x) else x for x in name)
-                for c in columns:
-                    v = pdf[c].to_numpy(float, na_value=np.nan)[at] if len(at) < 64 else cols[c][at]
-                    v = v[~np.isnan(v)]
-                    if len(v):
-                        open_.setdefault((name, c), RelativeSketch(seed + len(open_))).add(v)
-
-        cols: dict[str, np.ndarray] = {}
+            codes, uniques = {}, {}
+            for k in keys:
+                codes[k], uniques[k] = pd.factorize(pdf[k], use_na_sentinel=True)
+            values = {c: pdf[c].to_numpy(float, na_value=np.nan) for c in columns}
+            for scope, kept in scopes:
+                code = np.zeros(len(pdf), np.int64)
+                for k in kept:
+                    code = code * (len(uniques[k]) + 1) + codes[k] + 1
+                order = np.argsort(code, kind="stable")
+                starts = np.flatnonzero(np.r_[True, np.diff(code[order]) != 0])
+                heads = {k: codes[k][order[starts]].tolist() for k in kept}
+                ends = [*starts[1:].tolist(), len(order)]
+                sorted_ = {c: v[order] for c, v in values.items()}
+                blank = {c: np.isnan(v) for c, v in sorted_.items()}
+                for i, (lo, hi) in enumerate(zip(starts.tolist(), ends)):
+                    name = tuple(uniques[k][heads[k][i]] if k in heads and heads[k][i] >= 0 else None for k in keys)
+                    for c in columns:
+                        v = sorted_[c][lo:hi]
+                        if blank[c][lo:hi].any():
+                            v = v[~blank[c][lo:hi]]
+                        if len(v):
+                            s = open_.at((*name[: len(groups)], scope, *name[len(groups) :], c))
+                            before = s.held()
+                            s.add(v)
+                            open_.values += s.held() - before
+
         for pdf in batches:
             if len(pdf):
                 held.append(pdf)
                 n += len(pdf)
             if n >= HELD:
-                cols = {c: pd.concat([h[c] for h in held]).to_numpy(float, na_value=np.nan) for c in columns}
                 flush()
                 n = 0
+                if open_.full():
+                    yield from open_.drain(names)
         if held:
-            cols = {c: pd.concat([h[c] for h in held]).to_numpy(float, na_value=np.nan) for c in columns}
             flush()
-        rows_ = [(*name, c, s.to_bytes()) for (name, c), s in open_.items()]
-        for lo in range(0, len(rows_), 2000):
-            yield pd.DataFrame(rows_[lo : lo + 2000], columns=[*groups, "column", "sketch"])
+        yield from open_.drain(names)
+
+    src = rows.select(*keys, *columns)
+    schema = [_types(src, groups), "scope string", _types(src, parts), "column string, sketch binary"]
+    return src.mapInPandas(fill, ", ".join(filter(None, schema)))
 
-    src = rows.select(*groups, *columns)
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[: len(groups)])
-    return src.mapInPandas(fill, f"{kinds}, column string, sketch binary")
+
+def sketches(rows: DataFrame, groups: list[str], columns: list[str], seed: int = 7) -> DataFrame:
+    """One partial sketch per partition, group and column: ``groups``, column, sketch. As ``sketch_sets`` otherwise."""
+    return sketch_sets(rows, groups, [], columns, [()], seed).drop("scope")
 
 
 def merge_sketches(partial: DataFrame, groups: list[str]) -> DataFrame:
@@ -186,39 +334,42 @@ def merge_sketches(partial: DataFrame, groups: list[str]) -> DataFrame:
                 if key != at:
                     if sketch is not None:
                         out.append((*at, sketch.to_bytes()))
-                    at, sketch = key, RelativeSketch.from_bytes(blob)
-                    sketch.levels = [v.copy() for v in sketch.levels]
+                    at, sketch = key, TwoTailSketch.from_bytes(blob)
                 else:
-                    sketch.merge(RelativeSketch.from_bytes(blob))
+                    sketch.merge(TwoTailSketch.from_bytes(blob))
             if len(out) > 2000:
-                yield pd.DataFrame(out, columns=[*keys, "sketch"])
+                yield pd.DataFrame(out, columns=[*keys, "sketch"], dtype=object)
                 out = []
         if sketch is not None:
             out.append((*at, sketch.to_bytes()))
-            yield pd.DataFrame(out, columns=[*keys, "sketch"])
+            yield pd.DataFrame(out, columns=[*keys, "sketch"], dtype=object)
 
     met = partial.select(*keys, "sketch").repartition(*keys).sortWithinPartitions(*keys)
     return met.mapInPandas(run, met.schema)
 
 
-def percentiles(merged: DataFrame, shares: list[float]) -> DataFrame:
-    """Read percentiles out of sketches: a column pNN for each share, the number of values and the rank error allowed."""
+def percentiles(merged: DataFrame, shares: list[float], keep_sketch: bool = False) -> DataFrame:
+    """Read percentiles out of sketches: a column pNN for each share, the number of values and the relative rank error
+    allowed (times min(p, 1 - p) n, plus 1); with ``keep_sketch`` the sketch too, to be merged with later ones."""
     keys = [c for c in merged.columns if c != "sketch"]
     names = ["p" + f"{s * 100:g}".replace(".", "_") for s in shares]
+    kept = ["sketch"] if keep_sketch else []
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            read = [RelativeSketch.from_bytes(b) for b in pdf["sketch"]]
+            read = [TwoTailSketch.from_bytes(b) for b in pdf["sketch"]]
             out = pdf[keys].copy()
             out["n"] = [s.n for s in read]
             values = [s.quantiles(shares) for s in read]
             for i, name in enumerate(names):
                 out[name] = [v[i] for v in values]
             out["relative_rank_error"] = ERROR
+            for c in kept:
+                out[c] = pdf[c]
             yield out
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in merged.schema.fields if f.name != "sketch")
-    return merged.mapInPandas(run, f"{kinds}, n bigint, {', '.join(f'{n} double' for n in names)}, relative_rank_error double")
+    schema = [_types(merged, keys), "n bigint", *(f"{n} double" for n in names), "relative_rank_error double", *(f"{c} binary" for c in kept)]
+    return merged.mapInPandas(run, ", ".join(schema))
 
 
 def group_percentiles(rows: DataFrame, groups: list[str], columns: list[str], shares: list[float], by: str | None = None) -> DataFrame:
@@ -232,3 +383,13 @@ def group_percentiles(rows: DataFrame, groups: list[str], columns: list[str], sh
     if by:
         parts = merge_sketches(parts, [*groups, by])
     return percentiles(merge_sketches(parts, groups), shares)
+
+
+def part_percentiles(rows: DataFrame, groups: list[str], parts: list[str], columns: list[str], shares: list[float], sets: list[tuple[str, ...]]) -> DataFrame:
+    """Percentiles and sketches of single parts and of the whole: ``groups``, scope, ``parts``, column, n, percentiles,
+    relative_rank_error, sketch. Sketches of any rows can be kept and put together by ``merge_sketches``.
+
+    One pass over the rows and one shuffle, of sketches. Cases as in ``sketch_sets`` and ``group_percentiles``.
+    """
+    made = sketch_sets(rows, groups, parts, columns, sets)
+    return percentiles(merge_sketches(made, [*groups, "scope", *parts]), shares, keep_sketch=True)

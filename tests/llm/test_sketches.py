@@ -7,16 +7,16 @@ from pyspark.sql import functions as F
 
 from strandloom.llm import heavy, percentiles, termfreq
 
-SHARES = [0.0, 0.01, 0.25, 0.5, 0.75, 0.9, 0.99, 0.999, 1.0]
+SHARES = [0.0, 0.001, 0.01, 0.25, 0.5, 0.75, 0.9, 0.99, 0.999, 1.0]
 
 
 def rank_error(data, share, value):
-    """How far the value's rank is off, over the distance from the upper end."""
+    """How far the value's rank is off, over the distance from the nearer end."""
     data = np.sort(data)
     n = len(data)
     lo, hi, r = np.searchsorted(data, value, "left"), np.searchsorted(data, value, "right"), max(1, int(np.ceil(share * n)))
     off = 0 if lo < r <= hi else min(abs(r - lo - 1), abs(r - hi))
-    return max(0, off - 1) / max(1e-9, (1 - share) * n) if share < 1 else off
+    return max(0, off - 1) / max(1e-9, min(share, 1 - share) * n) if 0 < share < 1 else off
 
 
 @pytest.mark.parametrize("parts", [1, 30, 300])
@@ -24,12 +24,12 @@ def rank_error(data, share, value):
 def test_merged_sketches_keep_the_stated_error(parts, kind):
     rng = np.random.default_rng(1)
     data = {"uniform": rng.random(200_000), "skewed": np.floor(rng.exponential(300, 200_000)), "ascending": np.arange(200_000.0), "few": rng.integers(0, 5, 200_000) * 1.0}[kind]
-    total = percentiles.RelativeSketch(3)
+    total = percentiles.TwoTailSketch(3)
     for i, p in enumerate(np.array_split(data, parts)):
-        s = percentiles.RelativeSketch(11 + i)
+        s = percentiles.TwoTailSketch(11 + i)
         s.add(p)
-        total.merge(percentiles.RelativeSketch.from_bytes(s.to_bytes()))
-    assert total.n == len(data) and sum(map(len, total.levels)) < 12_000
+        total.merge(percentiles.TwoTailSketch.from_bytes(s.to_bytes()))
+    assert total.n == len(data) and total.held() < 24_000
     for share, v in zip(SHARES, total.quantiles(SHARES)):
         assert rank_error(data, share, v) <= percentiles.ERROR, (share, v)
 
@@ -47,6 +47,31 @@ def test_percentiles_of_groups(spark):
     assert percentiles.group_percentiles(df.where("v is null"), ["g"], ["v"], [0.5]).count() == 0
 
 
+def test_sketches_are_written_in_the_narrowest_kind_and_read_back():
+    for values in ([1.0, -128.0], [300.0, 2.0], [70_000.0], [0.5, 1e300], [-0.0, 3.0], []):
+        s = percentiles.TwoTailSketch()
+        s.add(np.array(values, float))
+        back = percentiles.TwoTailSketch.from_bytes(s.to_bytes())
+        assert back.n == len(values) and back.upper.levels[0].tobytes() == np.array(values, float).tobytes()
+
+
+def test_parts_can_be_put_together_and_open_sketches_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(percentiles, "OPEN_VALUES", 100)
+    monkeypatch.setattr(percentiles, "HELD", 500)
+    rng = random.Random(6)
+    rows = [(rng.choice("ab"), rng.choice([None, "d1", "d2"]), f"r{rng.randrange(3)}", rng.randint(0, 10**6)) for _ in range(9000)]
+    df = spark.createDataFrame(rows, "g string, day string, run string, v int").repartition(3)
+    got = percentiles.part_percentiles(df, ["g"], ["day", "run"], ["v"], [0.01, 0.5, 0.99], [(), ("day",), ("day", "run")])
+    assert got.where("scope = 'all'").count() == 2 and got.where("scope = 'day'").count() == 6 and got.where("scope = 'day,run'").count() == 18
+    put = percentiles.percentiles(percentiles.merge_sketches(got.where("scope = 'day,run'"), ["g"]), [0.01, 0.5, 0.99])
+    for frame in (put, got.where("scope = 'all'")):
+        for r in frame.collect():
+            data = np.array([v for g, _, _, v in rows if g == r.g], float)
+            assert r.n == len(data)
+            for share, v in ((0.01, r.p1), (0.5, r.p50), (0.99, r.p99)):
+                assert rank_error(data, share, v) <= percentiles.ERROR
+
+
 def test_burst_trie():
     rng = random.Random(2)
     trie, want = termfreq.BurstTrie(), defaultdict(lambda: [0, 0])
