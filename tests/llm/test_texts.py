@@ -3,6 +3,7 @@ import unicodedata
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from strandloom.llm import canonical, leak, lookalike, packing
 
@@ -141,17 +142,46 @@ def test_wrong_encodings_are_mended():
 
 def test_suffix_arrays_find_the_longest_stretch():
     rng = random.Random(7)
-    v = leak.Words()
-    docs = [["w" * rng.randint(3, 9) + "qxj"[rng.randrange(3)] * 4 for _ in range(40)] for _ in range(40)]
-    items = [(i, docs[i][5:25][: 10 + i] + ["zz" + str(i) * 3] * 6) for i in range(6)]
-    got = {(d, i): n for d, i, n, _ in leak._shard(list(range(40)), docs, items, v)}
+    docs = [["w" * rng.randint(1, 20) + "qxj"[rng.randrange(3)] * 4 for _ in range(40)] for _ in range(40)]
+    items = [(i, docs[i][5:25][: 10 + i] + ["zz" + str(i) * 3] * 6) for i in range(6)] + [(9, docs[7] + docs[7]), (10, [])]
+    got = {(d, i): n for d, i, n, _ in leak.search_shard(list(range(40)), docs, leak.Items(items))}
     for d in range(40):
         for i, w in items:
             n = brute(docs[d], w)
-            if 2 * n >= len(w):
-                assert got[d, i] >= n
-    seq = np.array([2, 1, 2, 1, 0])
-    assert leak.suffix_array(seq, 8).tolist() == sorted(range(5), key=lambda k: seq[k:].tolist())
+            if w and 2 * n >= len(w):
+                assert got.pop((d, i)) == n
+    assert not got
+    lengths = np.array([2, 1, 2, 1, 0] * 9 + [3, 0])
+    order = leak.suffix_array(leak.pack(lengths), 60)
+    assert order.tolist() == sorted(range(len(lengths)), key=lambda k: (lengths[k:].tolist() + [0] * 60)[:60])
+
+
+@pytest.mark.parametrize("every", [1, 2, 3, 4])
+def test_misread_words_at_any_distance(every):
+    words = ITEM.split()
+    misread = [w[0] + "x" + w[2:] if i % every == 0 and len(w) > 2 else w for i, w in enumerate(words)]
+    v = leak.Words()
+    items = leak.read_items([(1, ITEM)], v)
+    texts = [" ".join(misread[3:18]), " ".join(misread[3:14]), ITEM.upper()]
+    assert [(d, n) for d, _, n, _ in leak.search_shard([0, 1, 2], [v.split(t) for t in texts], items)] == [(0, 15), (2, 24)]
+
+
+def test_letters_of_other_scripts_in_either_case():
+    v = leak.Words()
+    text = "Он построил новый дом, где пять котов вечером пьют горячий чай и говорят"
+    for other in (text.upper(), text.replace("о", "o"), text.title()):
+        a, b = ([k for t in lookalike.uniform([x]) for k in v.split(t)] for x in (text, other))
+        assert a == b
+
+
+def test_long_descriptions_markup_and_labels_do_not_interrupt(spark):
+    words = ITEM.split()
+    lines = [" ".join(words[2:8]), "[" + "rain falls, " * 40 + "]", "(" + "wind " * 100 + ")", f"<font color='{'x' * 200}'>" + " ".join(words[8:14]) + "</font>", "VERYLONGLABELOFTHESPEAKER: " + " ".join(words[14:20])]
+    docs = spark.createDataFrame([(1, srt(lines)), (2, "[ " + srt([" ".join(words[2:20])]) + "]")], "doc_id bigint, text string")
+    items = spark.createDataFrame([(7, ITEM), (8, "nothing like it at all in here")], "item_id bigint, text string")
+    for size in (leak.ITEM_BYTES, 20):  # in one go and in blocks
+        got = leak.find_leaks(docs, items, item_bytes=size).select("doc_id", "item_id", "n_words").collect()
+        assert sorted(tuple(r) for r in got) == [(1, 7, 18), (2, 7, 18)]
 
 
 def test_plans_cover_and_fit():
