@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 
@@ -12,6 +13,8 @@ MATCH, MISMATCH, GAP_OPEN, GAP_EXTEND = 2, 2, 3, 2
 #: Window of a tail, and how many of its bases must fit; bases of another kind it may run over.
 TAIL_WINDOW, TAIL_GAP = 14, 3
 TAIL_LEAST = int(TAIL_WINDOW * 0.9)
+#: Bases of a piece of a long read, and pieces worked on together.
+PIECE, SIDE_BY_SIDE = 2048, 64
 
 
 def as_matrix(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -42,6 +45,14 @@ def infix_scores(pattern: str, reads: np.ndarray, wild_target: bool = False) ->
     ``wild_target``: an N of the read equals every base.
     """
     m, n = len(pattern), len(reads)
+    if reads.shape[1] > 2 * PIECE:
+        # an occurrence spans at most 2 m bases: pieces with as many bases before them are worked on side by side
+        pieces = -(-reads.shape[1] // PIECE)
+        wide = np.zeros((n, 2 * m + pieces * PIECE), np.uint8)
+        wide[:, 2 * m : 2 * m + reads.shape[1]] = reads
+        parts = np.stack([wide[:, k * PIECE : (k + 1) * PIECE + 2 * m] for k in range(pieces)], axis=1).reshape(n * pieces, -1)
+        found = infix_scores(pattern, parts, wild_target)[:, 2 * m :]
+        return found.reshape(n, -1)[:, : reads.shape[1]]
     if m > 63:
         return _infix_wide(pattern, reads, wild_target)
     equal = np.zeros(256, np.uint64)
@@ -89,22 +100,43 @@ def _infix_wide(pattern: str, reads: np.ndarray, wild_target: bool) -> np.ndarra
     return out.T
 
 
+@lru_cache(maxsize=256)
+def _backwards(pattern: str, wild_target: bool) -> list[int]:
+    """Per byte the places of the reversed pattern that it equals, as bits."""
+    masks = [0] * 256
+    for i, ok in enumerate(_fits(pattern)[::-1]):
+        for c in np.flatnonzero(ok).tolist():
+            masks[c] |= 1 << i
+    if wild_target:
+        masks[ord("N")] = (1 << len(pattern)) - 1
+    return masks
+
+
 def _start_of(pattern: str, text: str, stop: int, distance: int, wild_target: bool = False) -> int:
-    """First base of the match that ends at ``stop`` (0-based), the longest of equally good ones."""
+    """First base of the match that ends at ``stop`` (0-based), the longest of equally good ones: both are read backwards
+    from there, bit-parallel over the pattern."""
     if not distance:
         return stop + 1 - len(pattern)
-    fits = _fits(pattern)[::-1]
-    back = text[max(0, stop + 1 - len(pattern) - distance) : stop + 1][::-1]
-    row = list(range(len(fits) + 1))
-    at = 0 if row[-1] == distance else -1
-    for j, c in enumerate(back):
-        new = [j + 1]
-        for i, ok in enumerate(fits):
-            same = ok[ord(c) & 255] or (wild_target and c == "N")
-            new.append(min(row[i] + (not same), row[i + 1] + 1, new[i] + 1))
-        row = new
-        if row[-1] == distance:
-            at = j + 1
+    m = len(pattern)
+    masks, full, top = _backwards(pattern, wild_target), (1 << m) - 1, 1 << (m - 1)
+    back = text[max(0, stop + 1 - m - distance) : stop + 1][::-1]
+    pv, mv, score = full, 0, m
+    at = 0 if score == distance else -1
+    for j, c in enumerate(back, 1):
+        eq = masks[ord(c) & 255]
+        xv = eq | mv
+        xh = (((eq & pv) + pv) ^ pv) | eq
+        ph = mv | (full & ~(xh | pv))
+        mh = pv & xh
+        if ph & top:
+            score += 1
+        elif mh & top:
+            score -= 1
+        ph = (ph << 1) | 1  # every base more of the text costs one
+        pv = ((mh << 1) | ~(xv | ph)) & full
+        mv = ph & xv & full
+        if score == distance:
+            at = j
     return stop - at + 1 if at >= 0 else stop
 
 
@@ -145,6 +177,16 @@ def local_alignments(pattern: str, texts: list[str]) -> list[tuple[int, int, int
     m = len(p)
     if not m or not texts:
         return [None] * len(texts)
+    if max(map(len, texts)) > 2 * PIECE:
+        # gaps cost what matches gain, so an alignment spans at most 2 m bases; pieces overlap by more
+        where = [(k, lo) for k, t in enumerate(texts) for lo in range(0, max(1, len(t) - 3 * m), PIECE)]
+        best: list[tuple[int, int, int, str] | None] = [None] * len(texts)
+        for at in range(0, len(where), SIDE_BY_SIDE):
+            some = where[at : at + SIDE_BY_SIDE]
+            for (k, lo), got in zip(some, local_alignments(p, [texts[k][lo : lo + PIECE + 3 * m] for k, lo in some])):
+                if got and (best[k] is None or got[0] > best[k][0]):
+                    best[k] = (got[0], got[1] + lo, got[2] + lo, got[3])
+        return best
     matrix, sizes = as_matrix([t.upper() for t in texts])
     gains = np.full((256, m), -MISMATCH, np.int32)
     for i, c in enumerate(p):
@@ -266,9 +308,10 @@ def tail_candidates(base: str, reads: np.ndarray) -> np.ndarray:
 def poly_tails(base: str, text: str) -> list[tuple[int, int, int]]:
     """Tails of one base: 1-based (start, stop, other bases of the first window)."""
     hit = [c == base for c in text.upper()]
+    before = [0, *accumulate(hit)]
     out, i, n = [], 0, len(hit)
     while i + TAIL_WINDOW <= n:
-        inside = sum(hit[i : i + TAIL_WINDOW])
+        inside = before[i + TAIL_WINDOW] - before[i]
         if inside < TAIL_LEAST:
             i += 1
             continue

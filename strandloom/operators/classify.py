@@ -19,8 +19,10 @@ def has_static(elements: Column, direction: str) -> Column:
 
 
 def read_length(elements: Column, direction: str) -> Column:
+    """Bases of the window of the strand's read, before anything is cut out of it; 0 without one."""
     found = F.filter(elements, lambda e: (e["direction"] == direction) & (e["global_class"] == "read") & e["seq"].isNotNull())
-    return F.coalesce(F.length(F.get(found, F.lit(0))["seq"]), F.lit(0))
+    first = F.get(found, F.lit(0))
+    return F.coalesce(first["stop"] - first["start"] + 1, F.lit(0))
 
 
 def invalid_element(elements: Column, direction: str) -> Column:
@@ -73,33 +75,24 @@ def classify(located: DataFrame, least: int, bulk: bool = False) -> DataFrame:
     return out.withColumn("read_type", read_type(n("forward"), n("reverse")))
 
 
-def kept_positions(seq: Column, spans: Column, start: Column, stop: Column) -> Column:
-    """Positions of the window start to stop that no span covers and that hold no N."""
-    return F.filter(
-        F.sequence(start, stop), lambda i: (F.substring(seq, i, F.lit(1)) != "N") & ~F.exists(spans, lambda s: (i >= s["start"]) & (i <= s["stop"]))
-    )
-
-
-def at_positions(text: Column, positions: Column) -> Column:
-    return F.array_join(F.transform(positions, lambda i: F.substring(text, i, F.lit(1))), "")
-
-
 def masked_read(seq: Column, spans: Column, start: Column, stop: Column) -> Column:
-    """The window start to stop of a read, without the bases that other elements cover and without any N."""
-    return at_positions(seq, kept_positions(seq, spans, start, stop))
+    """The window start to stop of a read, without the bases that other elements cover and without any N.
 
+    ``spans`` holds structs of start and stop. The pieces between the sorted spans are joined: linear in the window.
+    """
+    begin = F.struct(start.cast("int").alias("at"), F.lit("").alias("text"))
 
-def clean_reads(elements: Column, seq: Column, qual: Column) -> Column:
-    """The elements with their read cut free of what other elements of the strand cover, and with ``qual`` of the read."""
+    def step(acc: Column, s: Column) -> Column:
+        inside = (s["stop"] >= acc["at"]) & (s["start"] <= stop)
+        piece = F.when(inside & (s["start"] > acc["at"]), F.substring(seq, acc["at"], s["start"] - acc["at"])).otherwise("")
+        at = F.when(inside, F.greatest(acc["at"], s["stop"] + 1)).otherwise(acc["at"])
+        return F.struct(at.cast("int").alias("at"), F.concat(acc["text"], piece).alias("text"))
 
-    def one(e: Column) -> Column:
-        others = F.filter(elements, lambda o: (o["direction"] == e["direction"]) & (o["global_class"] != "read") & (o["start"] > 0) & (o["stop"] > o["start"]))
-        kept = kept_positions(seq, F.transform(others, lambda o: F.struct(o["start"].alias("start"), o["stop"].alias("stop"))), e["start"], e["stop"])
-        is_read = (e["global_class"] == "read") & e["element_pass"]
-        text = F.when(is_read, at_positions(seq, kept)).otherwise(e["seq"])
-        return e.withField("seq", text).withField("qual", F.when(is_read & (F.length(qual) > 0), at_positions(qual, kept)))
+    def last(acc: Column) -> Column:
+        rest = F.when(acc["at"] <= stop, F.substring(seq, acc["at"], stop - acc["at"] + 1)).otherwise("")
+        return F.replace(F.concat(acc["text"], rest), F.lit("N"), F.lit(""))
 
-    return F.transform(elements, one)
+    return F.aggregate(F.sort_array(spans), begin, step, last)
 
 
 def counters(elements: DataFrame) -> DataFrame:

@@ -21,11 +21,15 @@ from strandloom.session import BROADCAST_ROWS, cut, small_side
 TRUE_EDITS, KMER_EDITS, GLOBAL_EDITS = 2, 3, 4
 #: Reads that may be given to a barcode hardly seen itself, by mode.
 FREE = {"offensive": 10, "defensive": 5}
+#: Entries from which mutations are written out instead of joined on parts: a barcode has some 1,100 within two bases, and
+#: three parts of five bases or six meet one in 700 entries.
+MANY = 500_000
 _KEY = ["class_id", "raw", "expanded"]
 
 
-def infix_distance(a: str, b: str, most: int) -> Column:
-    """As dna.infix_distance, for whole Arrow batches of pairs; a pair costs about a microsecond instead of a hundred."""
+def infix_edits(a: str, b: str) -> Column:
+    """Edit distance of the shorter within the longer, -1 where either is empty or null; whole Arrow batches of pairs at a
+    time, so that a pair costs about a microsecond instead of a hundred."""
 
     @F.pandas_udf("int")
     def run(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
@@ -35,12 +39,18 @@ def infix_distance(a: str, b: str, most: int) -> Column:
                 yield pd.Series([], dtype="int32")
                 continue
             d = align.infix_pairs([p for p, _ in pairs], [q for _, q in pairs]).astype(np.int32)
-            d[(d > most) | np.array([not p for p, _ in pairs])] = -1
+            d[np.array([not p for p, _ in pairs])] = -1
             yield pd.Series(d)
 
     return run.asNondeterministic()(F.col(a), F.col(b))
 
 
+def infix_distance(a: str, b: str, most: int) -> Column:
+    """``infix_edits``, -1 above ``most``."""
+    d = infix_edits(a, b)
+    return F.when(d <= most, d).otherwise(-1)
+
+
 def assign_roles(lists: DataFrame, spec: str = "spec") -> DataFrame:
     """Roles by size per class: one list is global from 100,000 entries on, else true; of two, the smaller is true and
     the larger global, both true if as large. Columns in: class_id, ``spec``, barcode; out: class_id, role, barcode."""
@@ -75,46 +85,39 @@ def adapter_kmers(adapters: list[str], length: int) -> list[str]:
     return sorted(out)
 
 
-def screen(observed: DataFrame, true: DataFrame, filters: list[str], small: bool = False) -> DataFrame:
-    """Add ``screened``: an adapter's k-mer (unless that is a true barcode itself), hardly any variety, or a run of one base."""
+def exact(observed: DataFrame, named: DataFrame, small: bool = False) -> DataFrame:
+    """Add ``candidate`` and ``is_true``: the list's entry that the barcode is as it stands (on either list, ``is_true``
+    whether on the true one), or turned if that is on the true list; null if neither."""
+    as_is = named.select("class_id", F.col("barcode").alias("raw"), F.col("is_true").alias("__here"))
+    turned = named.where("is_true").select("class_id", F.col("barcode").alias("__turned"), F.lit(True).alias("__there"))
+    out = observed.join(side(as_is, small), ["class_id", "raw"], "left").withColumn("__turned", dna.revcomp("raw"))
+    out = out.join(side(turned, small), ["class_id", "__turned"], "left")
+    candidate = F.when(F.col("__here").isNotNull(), F.col("raw")).when(F.col("__there"), F.col("__turned"))
+    return out.select(*observed.columns, candidate.alias("candidate"), F.coalesce("__here", "__there").alias("is_true"))
+
+
+def screened(filters: list[str]) -> Column:
+    """Whether a barcode (raw, with candidate and is_true of ``exact``) is not looked at: an adapter's k-mer (unless that is
+    a true barcode itself), hardly any variety, or a run of one base."""
     n = F.length("raw")
     most = F.greatest(F.lit(4), F.floor(n * 0.4).cast("int"))
-    seen = true.select("class_id", F.col("barcode").alias("raw"), F.lit(True).alias("__true"))
-    out = observed.join(side(seen, small), ["class_id", "raw"], "left")
+    own = F.coalesce(F.col("is_true") & (F.col("candidate") == F.col("raw")), F.lit(False))
     hit = F.col("raw").isin(filters) | dna.revcomp("raw").isin(filters) if filters else F.lit(False)
     poor = (dna.distinct_kmers("raw", 2) < 4) | dna.homopolymer_end("raw", most)
-    return out.withColumn("screened", (hit & F.col("__true").isNull()) | (poor if filters else F.lit(False))).drop("__true")
-
-
-def exact(observed: DataFrame, lists: DataFrame, stage: str, reverse_too: bool, small: bool = False) -> DataFrame:
-    """Observed barcodes on the list as they stand, or turned."""
-    rows = [(F.col("raw"), 0)] + ([(dna.revcomp("raw"), 1)] if reverse_too else [])
-    out = None
-    for key, turn in rows:
-        got = observed.withColumn("barcode", key).join(side(lists, small), ["class_id", "barcode"])
-        got = got.select(*_KEY, F.col("barcode").alias("candidate"), F.lit(0).alias("dist"), F.lit(turn).alias("turn"))
-        out = got if out is None else out.unionByName(got)
-    best = out.groupBy(*_KEY).agg(F.min_by("candidate", F.struct("turn", "candidate")).alias("candidate"))
-    return best.withColumn("dist", F.lit(0)).withColumn("stage", F.lit(stage))
-
-
-def adjudicate(candidates: DataFrame, raw_counts: DataFrame, stage: str, small: bool = False) -> DataFrame:
-    """One candidate wins; of several, at the least distance at which any has been seen exactly, the only such one."""
-    counted = candidates.join(side(raw_counts, small), ["class_id", "candidate"], "left").withColumn("raw_n", F.coalesce("raw_n", F.lit(0)))
-    alone = F.count(F.lit(1)).over(Window.partitionBy(*_KEY)) == 1
-    seen = counted.withColumn("alone", alone).where(F.col("alone") | (F.col("raw_n") > 0))
-    least = F.min("dist").over(Window.partitionBy(*_KEY))
-    tied = F.count(F.lit(1)).over(Window.partitionBy(*_KEY, "dist"))
-    won = seen.withColumn("least", least).withColumn("tied", tied).where((F.col("dist") == F.col("least")) & (F.col("tied") == 1))
-    return won.select(*_KEY, "candidate", "dist").withColumn("stage", F.lit(stage))
+    return F.coalesce((hit & ~own) | (poor if filters else F.lit(False)), F.lit(False))
 
 
-def kmer_candidates(observed: DataFrame, lists: DataFrame, most: int, small: bool = False) -> DataFrame:
-    """Entries among the k-mers of the widened window, k the barcode's length, within ``most`` edits of the barcode."""
+def kmer_pairs(observed: DataFrame, lists: DataFrame, small: bool = False) -> DataFrame:
+    """Entries among the k-mers of the widened window, k the barcode's length."""
     n = F.length("raw")
     at = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("expanded") - n + 1))
     parts = observed.withColumn("barcode", F.explode(F.array_distinct(F.transform(at, lambda i: F.substring(F.col("expanded"), i, n)))))
-    near = parts.join(side(lists, small), ["class_id", "barcode"]).withColumn("dist", infix_distance("raw", "barcode", most))
+    return parts.join(side(lists, small), ["class_id", "barcode"])
+
+
+def kmer_candidates(observed: DataFrame, lists: DataFrame, most: int, small: bool = False) -> DataFrame:
+    """Entries among the k-mers of the widened window within ``most`` edits of the barcode."""
+    near = kmer_pairs(observed, lists, small).withColumn("dist", infix_distance("raw", "barcode", most))
     return near.where("dist >= 0").select(*_KEY, F.col("barcode").alias("candidate"), "dist")
 
 
@@ -124,19 +127,23 @@ def _seeds(c: Column, parts: int) -> Column:
     return F.array(*(F.struct(F.lit(k).alias("part"), F.substring(c, bounds[k] + 1, bounds[k + 1] - bounds[k]).alias("seed")) for k in range(parts)))
 
 
-def seed_candidates(observed: DataFrame, lists: DataFrame, most: int = TRUE_EDITS, window: str = "expanded", small: bool = False) -> DataFrame:
-    """All entries within ``most`` edits inside the window, without comparing everything to everything.
-
-    An entry cut in most + 1 parts keeps one of them whole under that many edits, so entries and windows are joined on
-    parts and then verified. Windows shorter than an entry are searched in the entry instead, as the distance is.
-    """
+def seed_pairs(observed: DataFrame, lists: DataFrame, most: int = TRUE_EDITS, window: str = "expanded", small: bool = False) -> DataFrame:
+    """Pairs of a window and an entry that may lie within ``most`` edits inside it: an entry cut in most + 1 parts keeps one
+    of them whole under that many edits, so entries and windows are joined on parts."""
     parts = lists.select("class_id", "barcode", F.explode(_seeds(F.col("barcode"), most + 1)).alias("s")).select("class_id", "barcode", "s.seed")
     sizes = sorted(r[0] for r in parts.select(F.length("seed")).distinct().collect())
     w = F.col(window)
     pieces = F.flatten(F.array(*(dna.kmers(w, k) for k in sizes if k > 0)))
     open_ = observed.select(*_KEY).distinct().withColumn("seed", F.explode(F.array_distinct(pieces)))
-    pairs = open_.join(side(parts, small), ["class_id", "seed"]).select(*_KEY, "barcode").distinct()
-    near = pairs.withColumn("dist", infix_distance(window, "barcode", most)).where("dist >= 0")
+    return open_.join(side(parts, small), ["class_id", "seed"]).select(*_KEY, "barcode").distinct()
+
+
+def seed_candidates(observed: DataFrame, lists: DataFrame, most: int = TRUE_EDITS, window: str = "expanded", small: bool = False) -> DataFrame:
+    """All entries within ``most`` edits inside the window, without comparing everything to everything.
+
+    Windows shorter than an entry are searched in the entry instead, as the distance is.
+    """
+    near = seed_pairs(observed, lists, most, window, small).withColumn("dist", infix_distance(window, "barcode", most)).where("dist >= 0")
     return near.select(*_KEY, F.col("barcode").alias("candidate"), "dist")
 
 
@@ -167,18 +174,48 @@ def whole_candidates(observed: DataFrame, lists: DataFrame, most: int, bc: str =
     return near.select(bc, ref, "dist").distinct()
 
 
-def mutation_candidates(observed: DataFrame, lists: DataFrame, radius: int, most: int, small: bool = False) -> DataFrame:
-    """Entries within Hamming distance ``radius`` of the barcode and ``most`` edits inside the window.
+def mutation_pairs(observed: DataFrame, lists: DataFrame, radius: int, small: bool = False, many: bool = False) -> DataFrame:
+    """Entries within Hamming distance ``radius`` of the barcode, other than itself.
 
-    Joined on radius + 1 parts in place, of which one must be equal, instead of writing out all mutations.
+    Joined on radius + 1 parts in place, of which one must be equal. For ``many`` entries (MANY) parts of five bases would
+    meet thousands of them; then all mutations of the barcode are written out and joined as wholes.
     """
+    seen = observed.select(*_KEY).distinct()
+    if many:
+        muts = seen.withColumn("barcode", F.explode(F.array_distinct(dna.hamming_ball("raw", radius))))
+        return muts.join(side(lists, small), ["class_id", "barcode"])
     parts = lambda df, c: df.withColumn("s", F.explode(_seeds(F.col(c), radius + 1))).withColumn("size", F.length(c)).select("*", "s.part", "s.seed").drop("s")
-    pairs = parts(observed.select(*_KEY).distinct(), "raw").join(side(parts(lists, "barcode"), small), ["class_id", "size", "part", "seed"])
-    near = pairs.select(*_KEY, "barcode").distinct().where((dna.hamming("raw", "barcode") <= radius) & (F.col("raw") != F.col("barcode")))
-    near = near.withColumn("dist", infix_distance("expanded", "barcode", most)).where("dist >= 0")
+    pairs = parts(seen, "raw").join(side(parts(lists, "barcode"), small), ["class_id", "size", "part", "seed"]).drop("size", "part", "seed").distinct()
+    return pairs.where((dna.hamming("raw", "barcode") <= radius) & (F.col("raw") != F.col("barcode")))
+
+
+def mutation_candidates(observed: DataFrame, lists: DataFrame, radius: int, most: int, small: bool = False, many: bool = False) -> DataFrame:
+    """Entries within Hamming distance ``radius`` of the barcode and ``most`` edits inside the window."""
+    near = mutation_pairs(observed, lists, radius, small, many).withColumn("dist", infix_distance("expanded", "barcode", most)).where("dist >= 0")
     return near.select(*_KEY, F.col("barcode").alias("candidate"), "dist")
 
 
+def settle(candidates: DataFrame, placed: bool = False) -> DataFrame:
+    """The candidate of the first rung that decides: _KEY, candidate, dist, rung.
+
+    Columns in: _KEY, rung, candidate, dist, raw_n and nearest. On a rung of ``nearest`` the only candidate at the least
+    distance wins; on others a lone candidate, or of several, at the least distance at which any was seen exactly (raw_n
+    above 0), the only such one. All steps group by supersets of _KEY, so rows move once, or not at all if they are
+    ``placed`` by _KEY already.
+    """
+    seen = F.col("raw_n") > 0
+    by_dist = (candidates if placed else candidates.repartition(*_KEY)).groupBy(*_KEY, "rung", "nearest", "dist").agg(
+        F.count(F.lit(1)).alias("c"), F.min("candidate").alias("any"), F.count_if(seen).alias("seen"), F.min(F.when(seen, F.col("candidate"))).alias("pick")
+    )
+    least = F.min_by(F.struct("c", "any", "dist"), "dist")
+    least_seen = F.min_by(F.when(F.col("seen") > 0, F.struct("seen", "pick", "dist")), F.when(F.col("seen") > 0, F.col("dist")))
+    per_rung = by_dist.groupBy(*_KEY, "rung", "nearest").agg(F.sum("c").alias("all"), least.alias("l"), least_seen.alias("s"))
+    win = lambda c, d: F.struct(F.col(c).alias("candidate"), F.col(d).alias("dist"))
+    won = F.when(F.when(F.col("nearest"), F.col("l.c") == 1).otherwise(F.col("all") == 1), win("l.any", "l.dist")).when(~F.col("nearest") & (F.col("s.seen") == 1), win("s.pick", "s.dist"))
+    best = per_rung.withColumn("w", won).where("w is not null").groupBy(*_KEY).agg(F.min_by(F.struct("w.candidate", "w.dist", "rung"), "rung").alias("b"))
+    return best.select(*_KEY, "b.*")
+
+
 def gate(proposed: DataFrame, raw_counts: DataFrame, mode: str) -> DataFrame:
     """Accept or reject all fuzzy reads of a barcode by its exact reads and their number; independent of order.
 
@@ -198,53 +235,52 @@ def correct(observed: DataFrame, lists: DataFrame, mode: str = "offensive", radi
 
     Rungs, the first that gives a barcode counts: global exact, true exact (either strand), k-mers of the window, seeded
     search of the true list in the window, mutations. Fuzzy rungs try true before global in 'offensive' mode, the other
-    way round in 'defensive' mode, and must pass ``gate``. Screened and unmatched barcodes come out with null
-    ``corrected`` and the reason as stage. ``write`` is whether the barcode goes on: on the true list, or on the global
-    one where the class has no true list. Null barcodes come out unmatched; repeated rows are added up by n.
+    way round in 'defensive' mode, and must pass ``gate``. The candidates of all fuzzy rungs are gathered with the number
+    of their rung and settled at once. Screened and unmatched barcodes come out with null ``corrected`` and the reason as
+    stage. ``write`` is whether the barcode goes on: on the true list, or on the global one where the class has no true
+    list. Null barcodes come out unmatched; repeated rows are added up by n. Barcodes of which any row has a true ``sure``
+    (an optional column) are not screened.
     """
     if mode not in FREE:
         raise ValueError(f"mode must be one of {sorted(FREE)}")
-    lists = cut(lists.select("class_id", "role", F.col("barcode")).distinct())
-    small = lists.count() <= BROADCAST_ROWS
-    true, global_ = split_lists(lists, small)
-    seen = observed.groupBy(*_KEY).agg(F.sum("n").alias("n"))
-    judged = cut(screen(seen, true, filters or [], small))
-    open_ = judged.where("not screened and raw is not null")
-    first = cut(_first_of([exact(open_, global_, "global_exact", False, small), exact(open_, true, "true_exact", True, small)]))
-    exact_n = first.join(judged.select(*_KEY, "n"), _KEY).groupBy("class_id", "candidate").agg(F.sum("n").alias("raw_n"))
-    rest = cut(open_.join(first.select(*_KEY), _KEY, "left_anti"))
-    exact_n = cut(exact_n)  # at most as long as the lists
-    sides = [("true", true, TRUE_EDITS, TRUE_EDITS), ("global", global_, KMER_EDITS, GLOBAL_EDITS)]
-    sides = sides if mode == "offensive" else sides[::-1]
-    rungs = [adjudicate(kmer_candidates(rest, df, k, small), exact_n, f"{name}_kmer", small) for name, df, k, _ in sides]
-    rungs.append(nearest(seed_candidates(rest, true, small=small), "true_seed"))
-    rungs += [adjudicate(mutation_candidates(rest, df, radius, m, small), exact_n, f"{name}_mutation", small) for name, df, _, m in sides]
-    fuzzy = gate(_first_of(rungs).join(rest.select(*_KEY, "n"), _KEY), exact_n, mode).drop("n")
-    found = first.unionByName(fuzzy)
-    out = judged.join(found, _KEY, "left")
+    named = cut(lists.where("barcode is not null and role in ('true', 'global')").groupBy("class_id", "barcode").agg(F.bool_or(F.col("role") == "true").alias("is_true")))
+    sizes = {r["is_true"]: r["n"] for r in named.groupBy("is_true").agg(F.count(F.lit(1)).alias("n")).collect()}
+    total = sum(sizes.values())
+    small, small_parts = total <= BROADCAST_ROWS, total * (max(radius, TRUE_EDITS) + 1) <= BROADCAST_ROWS
+    true = named.where("is_true").drop("is_true")
+    sure = F.max("sure") if "sure" in observed.columns else F.lit(False)
+    seen = observed.groupBy(*_KEY).agg(F.sum("n").alias("n"), sure.alias("sure"))
+    judged = exact(seen, named, small).withColumn("screened", screened(filters or []) & ~F.coalesce("sure", F.lit(False))).drop("sure")
+    out_of = F.col("screened") | F.col("raw").isNull()
+    judged = cut(judged.select(*_KEY, "n", "screened", *(F.when(~out_of, F.col(c)).alias(c) for c in ("candidate", "is_true"))))
+    exact_n = cut(judged.where("candidate is not null").groupBy("class_id", "candidate").agg(F.sum("n").alias("raw_n")))  # at most as long as the lists
+    tasks = int(observed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # fuzzy search costs far more than moving the rows it is for: they are spread, however few
+    rest = judged.where("not screened and raw is not null and candidate is null").select(*_KEY, "n").repartition(tasks, *_KEY)
+    order = ["true", "global"] if mode == "offensive" else ["global", "true"]
+    names = [f"{o}_kmer" for o in order] + ["true_seed"] + [f"{o}_mutation" for o in order]
+    rung = lambda kind: F.when(F.col("is_true"), names.index(f"true_{kind}")).otherwise(names.index(f"global_{kind}"))
+    most = lambda other: F.when(F.col("is_true"), TRUE_EDITS).otherwise(other)
+    pair = lambda df, r, m, text: df.select(*_KEY, "barcode", r.alias("rung"), m.alias("most"), F.col(text).alias("text"))
+    pairs = pair(kmer_pairs(rest, named, small), rung("kmer"), most(KMER_EDITS), "raw")
+    pairs = pairs.unionByName(pair(seed_pairs(rest, true, small=small_parts), F.lit(names.index("true_seed")), F.lit(TRUE_EDITS), "expanded"))
+    pairs = pairs.unionByName(pair(mutation_pairs(rest, named, radius, small_parts, total > MANY), rung("mutation"), most(GLOBAL_EDITS), "expanded"))
+    near = pairs.repartition(tasks, *_KEY).withColumn("dist", infix_edits("text", "barcode")).where("dist between 0 and most").select(*_KEY, "rung", F.col("barcode").alias("candidate"), "dist")
+    near = near.join(side(exact_n, small), ["class_id", "candidate"], "left").withColumn("raw_n", F.coalesce("raw_n", F.lit(0)))
+    won = settle(near.withColumn("nearest", F.col("rung") == names.index("true_seed")), placed=small)
+    proposed = cut(won.join(rest, _KEY))  # read twice by the gate
+    stage = F.element_at(F.array(*map(F.lit, names)), F.col("rung") + 1)
+    fuzzy = gate(proposed, exact_n, mode).select(*_KEY, F.col("candidate").alias("fuzzy"), stage.alias("rung_name"))
+    out = judged.join(fuzzy, _KEY, "left")  # null barcodes have no match and stay
     has_true = true.select("class_id").distinct().withColumn("has_true", F.lit(True))
-    out = out.join(F.broadcast(has_true), "class_id", "left")
+    out = out.join(F.broadcast(has_true), "class_id", "left")  # a row per class
+    exact_stage = F.when(F.col("is_true"), "true_exact").when(F.col("candidate").isNotNull(), "global_exact")
+    stage = F.when(F.col("screened"), "screened").otherwise(F.coalesce(exact_stage, "rung_name", F.lit("unmatched")))
+    out = out.withColumn("stage", stage).withColumn("candidate", F.coalesce("candidate", "fuzzy"))
     source = F.when(F.startswith("stage", F.lit("true")), "true").when(F.col("candidate").isNotNull(), "global")
-    stage = F.when(F.col("screened"), "screened").otherwise(F.coalesce("stage", F.lit("unmatched")))
     changed = (F.col("candidate") != F.col("raw")) & (F.col("candidate") != dna.revcomp("raw"))
     write = F.coalesce((source == "true") | F.col("has_true").isNull() & F.col("candidate").isNotNull(), F.lit(False))
-    return out.select(*_KEY, "n", F.col("candidate").alias("corrected"), stage.alias("stage"), source.alias("source"), write.alias("write"), changed.alias("changed"))
-
-
-def nearest(candidates: DataFrame, stage: str) -> DataFrame:
-    """The only candidate at the least distance."""
-    per = candidates.groupBy(*_KEY, "dist").agg(F.count(F.lit(1)).alias("c"), F.min("candidate").alias("candidate"))
-    best = per.groupBy(*_KEY).agg(F.min_by(F.struct("candidate", "c", "dist"), "dist").alias("b")).where("b.c = 1")
-    return best.select(*_KEY, "b.candidate", "b.dist").withColumn("stage", F.lit(stage))
-
-
-def _first_of(rungs: list[DataFrame]) -> DataFrame:
-    out = None
-    for i, r in enumerate(rungs):
-        r = r.withColumn("rung", F.lit(i))
-        out = r if out is None else out.unionByName(r)
-    best = out.groupBy(*_KEY).agg(F.min_by(F.struct("candidate", "dist", "stage"), "rung").alias("b"))
-    return best.select(*_KEY, "b.*")
+    return out.select(*_KEY, "n", F.col("candidate").alias("corrected"), "stage", source.alias("source"), write.alias("write"), changed.alias("changed"))
 
 
 def joint_chain(reads: DataFrame, lists: dict[str, DataFrame], lengths: dict[str, list[int]], anchor: str, offsets: tuple[int, int] = (-3, 3), seq: str = "seq", key: str = "read_ord", allowed: DataFrame | None = None) -> DataFrame:
@@ -282,3 +318,11 @@ def direction_passes(barcodes: DataFrame, key: str = "read_ord", strict: bool =
     """
     rule = F.bool_and("passed") if strict else F.when(F.count(F.lit(1)) > 1, F.bool_or("passed")).otherwise(F.bool_and("passed"))
     return barcodes.groupBy(key, "direction").agg(rule.alias("passed"))
+
+
+def direction_pass(fixes: Column, direction: str, strict: bool = False) -> Column:
+    """``direction_passes`` for one read's array of corrected barcodes; false for none."""
+    own = F.filter(fixes, lambda f: f["direction"] == direction)
+    n = F.coalesce(F.size(own), F.lit(0))
+    passed = F.size(F.filter(own, lambda f: f["corrected"].isNotNull()))
+    return F.when(n < 1, F.lit(False)).otherwise((passed == n) if strict else F.when(n > 1, passed > 0).otherwise(passed == n))

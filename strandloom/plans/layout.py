@@ -7,6 +7,7 @@ import io
 import math
 import re
 from dataclasses import asdict, dataclass, field, replace
+from itertools import groupby
 
 from strandloom.functions.tags import flag_tokens
 
@@ -333,3 +334,29 @@ def joint_flag(flags: str) -> tuple[int, int, int] | None:
                 return 0, -3, 3
             return (int(m[1] or 0), 0, int(m[2] or 0)) if m[2] is not None else (int(m[1] or 0), -3, 3)
     return None
+
+
+@dataclass(frozen=True)
+class JointGroup:
+    """Barcodes of one strand that adjoin: members as they follow along the strand, allowed offsets, lengths by class."""
+
+    group: int
+    direction: str
+    least: int
+    most: int
+    members: tuple[Element, ...]
+    lengths: dict[str, tuple[int, ...]]
+
+
+def joint_groups(layout: Layout) -> list[JointGroup]:
+    """Runs of two and more barcodes of a strand that carry the flag with the same group number."""
+    out = []
+    for direction in ("forward", "reverse"):
+        bcs = [e for e in layout.of(direction) if e.global_class == "barcode"]
+        for flag, run in groupby(bcs, key=lambda e: joint_flag(e.flags)):
+            members = tuple(run)
+            if flag and len(members) > 1:
+                # the reverse block lists its elements backwards; along its own strand they follow as in the forward one
+                members = members[::-1] if direction == "reverse" else members
+                out.append(JointGroup(*flag[:1], direction, *flag[1:], members, {e.class_id: tuple(sorted(set(e.lengths or (16,)))) for e in members}))
+    return out

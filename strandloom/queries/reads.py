@@ -279,8 +279,7 @@ def lay_mask(spark, d):
 @query()
 def demux_e2e(spark, d):
     """All reads demultiplexed by the layout: the records."""
-    out = pipeline.demultiplex(_reads(spark, d), layout(), table(spark, d, "whitelist"))
-    return pipeline.records(out, layout())
+    return pipeline.records(pipeline.demultiplex_reads(_reads(spark, d), layout(), table(spark, d, "whitelist")), layout())
 
 
 @query()

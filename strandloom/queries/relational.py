@@ -159,7 +159,7 @@ def _sides(spark, d):
 @query(f"WITH {_SEEN} SELECT class_id, raw, expanded, min(c) AS candidate FROM (SELECT o.*, barcode c FROM o JOIN t USING (class_id) WHERE t.barcode = o.raw UNION ALL SELECT o.*, barcode FROM o JOIN t USING (class_id) WHERE t.barcode = reverse(translate(o.raw, 'ACGT', 'TGCA')) AND o.raw NOT IN (SELECT barcode FROM t WHERE class_id = 'barcode')) GROUP BY ALL")
 def jn_eq(spark, d):
     true, _ = _sides(spark, d)
-    return correct.exact(_all_observed(spark, d), true, "true_exact", True).select("class_id", "raw", "expanded", "candidate")
+    return correct.exact(_all_observed(spark, d), true.withColumn("is_true", F.lit(True))).where("candidate is not null").select("class_id", "raw", "expanded", "candidate")
 
 
 @query(f"WITH {_SEEN} SELECT raw, sum(n)::BIGINT AS n FROM o WHERE (class_id, raw) IN (SELECT (class_id, barcode) FROM t) GROUP BY 1")
@@ -209,7 +209,8 @@ def jn_theta(spark, d):
     true, _ = _sides(spark, d)
     seen = _all_observed(spark, d).select("class_id", "raw", F.col("raw").alias("expanded")).distinct()
     near = correct.seed_candidates(seen, true, small=False, most=2).withColumn("dist", F.levenshtein("raw", "candidate", 2)).where("dist >= 0")
-    return correct.nearest(near, "theta").select("class_id", "raw", "candidate", "dist")
+    rungs = near.select("*", F.lit(0).alias("rung"), F.lit(0).alias("raw_n"), F.lit(True).alias("nearest"))
+    return correct.settle(rungs).select("class_id", "raw", "candidate", "dist")
 
 
 @query(f"""WITH {_SEEN}, s AS (SELECT DISTINCT class_id, raw FROM o) SELECT raw, barcode AS candidate FROM s JOIN t USING (class_id) WHERE length(raw) = length(barcode) AND raw <> barcode AND hamming(raw, barcode) <= 2""")
@@ -234,7 +235,8 @@ def jn_tie(spark, d):
     plain = seen.select("class_id", "raw", F.col("raw").alias("expanded")).distinct()
     cands = correct.mutation_candidates(plain, true, 2, 4).withColumn("dist", dna.hamming("raw", "candidate"))
     raw_n = seen.groupBy("class_id", F.col("raw").alias("candidate")).agg(F.sum("n").alias("raw_n"))
-    return correct.adjudicate(cands, raw_n, "tie").select("class_id", "raw", "candidate", "dist")
+    rungs = cands.join(raw_n, ["class_id", "candidate"], "left").withColumn("raw_n", F.coalesce("raw_n", F.lit(0)))
+    return correct.settle(rungs.select("*", F.lit(0).alias("rung"), F.lit(False).alias("nearest"))).select("class_id", "raw", "candidate", "dist")
 
 
 @query()
