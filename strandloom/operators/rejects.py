@@ -37,8 +37,15 @@ _LF, _CR = "\ue00a", "\ue00d"
 #: Lines longer than this are judged by the grammar alone; the reader needs a buffer of several such lines.
 LONG_LINE = 1 << 20
 
+#: Types by which the reader itself tells a bad value; all other fields are text.
+TYPED = {"is_fastq": "ENUM('true', 'false')", "type": "ENUM('static', 'variable')"}
+#: The reader's kinds of error and the reasons they stand for, the first that applies to a line counts.
+ERRORS = {"UNQUOTED VALUE": "quoting", "MISSING COLUMNS": "columns", "TOO MANY COLUMNS": "columns", "CAST": "value"}
+#: Fixed value: a last field of every line, so that an empty field too many is one.
+_END = "E"
+
 SCHEMA = (
-    "line_id bigint, kind string, reason string, raw string, read_id string, comment string, seq string, qual string, "
+    "line_id bigint, kind string, reason string, judge string, raw string, read_id string, comment string, seq string, qual string, "
     "is_fastq boolean, element string, expected_length string, min_length bigint, max_length bigint, type string, "
     "class string, whitelist string, flags string"
 )
@@ -69,33 +76,54 @@ def field(line: str | None, at: int) -> str | None:
     return fields[at] if fields and at < len(fields) else None
 
 
-def _read_file(con, lines: dict[int, str], width: int) -> tuple[dict[int, list[str]], set[int]]:
-    """Read the lines as one CSV file with reject tables. Rows by position, and positions named by a reject."""
-    names = [f"f{i}" for i in range(width)]
-    columns = ", ".join(f"'{n}': 'VARCHAR'" for n in ["pos", *names])
-    order = list(lines)
-    fd, path = tempfile.mkstemp(suffix=".csv")  # scratch of this task alone; nothing else reads it
-    try:
-        with os.fdopen(fd, "w", encoding="utf-8", errors="surrogatepass", newline="") as out:
-            out.writelines(f"{p},{lines[p]}\n" for p in order)
-        con.execute("DROP TABLE IF EXISTS reject_scans; DROP TABLE IF EXISTS reject_errors")
-        rows = con.execute(
-            f"""SELECT * FROM read_csv('{path}', auto_detect=false, header=false, delim=',', quote='"', escape='"',
-            columns={{{columns}}}, store_rejects=true, strict_mode=true, parallel=false, new_line='\\n',
-            max_line_size={4 * LONG_LINE}, buffer_size={64 * LONG_LINE})"""
-        ).fetchall()
-        bad = {order[n - 1] for (n,) in con.execute("SELECT DISTINCT line FROM reject_errors").fetchall() if 0 < n <= len(order)}
-    except Exception as e:  # noqa: BLE001 - the reader gave the whole file up; the grammar decides on each line
-        if "CSV" not in str(e) and "Invalid" not in type(e).__name__:
-            raise
-        return {}, set(order)
-    finally:
-        os.unlink(path)
-    good = {}
-    for pos, *fields in rows:
-        if pos is not None and pos.isdigit() and int(pos) in lines:
-            good[int(pos)] = ["" if f is None else f for f in fields]
-    return good, bad
+def _read_files(con, files: list[list[int]], lines: dict[int, str], kind: str) -> tuple[dict[int, list[str]], dict[int, str], set[int]]:
+    """Read lines as CSV files with reject tables: returned rows by position, reasons of rejected ones, and refused lines.
+
+    A file that the reader gives up as a whole is halved until the line at fault stands alone, which is refused.
+    """
+    columns = ", ".join(f"'{n}': '{t}'" for n, t in [("pos", "BIGINT"), *((f, TYPED.get(f, "VARCHAR").replace("'", "''")) for f in FIELDS[kind]), ("end", "VARCHAR")])
+    rows: dict[int, list[str]] = {}
+    reasons: dict[int, str] = {}
+    refused: set[int] = set()
+    todo = [files]
+    with tempfile.TemporaryDirectory() as scratch:  # of this task alone; nothing else reads it
+        while todo:
+            group = [f for f in todo.pop() if f]
+            if not group:
+                continue
+            paths = {}
+            for i, positions in enumerate(group):
+                paths[at := os.path.join(scratch, f"{i}.csv")] = positions
+                with open(at, "w", encoding="utf-8", errors="surrogatepass", newline="") as out:
+                    out.writelines(f"{p},{lines[p]},{_END}\n" for p in positions)
+            con.execute("DROP TABLE IF EXISTS reject_scans; DROP TABLE IF EXISTS reject_errors")
+            try:
+                found = con.execute(
+                    f"""SELECT * FROM read_csv({list(paths)!r}, auto_detect=false, header=false, delim=',', quote='"', escape='"',
+                    columns={{{columns}}}, store_rejects=true, strict_mode=true, parallel=false, new_line='\\n',
+                    max_line_size={4 * LONG_LINE}, buffer_size={64 * LONG_LINE})"""
+                ).fetchall()
+                # line-level errors meet their raw records by file and line
+                errors = con.execute("SELECT file_path, line, error_type FROM reject_errors JOIN reject_scans USING (scan_id, file_id)").fetchall()
+            except Exception as e:  # noqa: BLE001
+                if "CSV" not in str(e) and "Invalid" not in type(e).__name__:
+                    raise
+                if len(group) > 1:
+                    todo += [group[: len(group) // 2], group[len(group) // 2 :]]
+                elif len(group[0]) > 1:
+                    todo += [[group[0][: len(group[0]) // 2]], [group[0][len(group[0]) // 2 :]]]
+                else:
+                    refused.add(group[0][0])
+                continue
+            rank = list(ERRORS.values())
+            for path, n, error in errors:
+                if 0 < n <= len(paths[path]):
+                    at, why = paths[path][n - 1], ERRORS.get(error, "columns")
+                    reasons[at] = min(reasons.get(at, why), why, key=rank.index)
+            for pos, *fields, end in found:
+                if pos in lines and end == _END:
+                    rows[pos] = ["" if f is None else f for f in fields]
+    return rows, reasons, refused
 
 
 def _load_batch(con, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -104,31 +132,44 @@ def _load_batch(con, pdf: pd.DataFrame) -> pd.DataFrame:
         raw = part["line"].tolist()
         ids = part["line_id"].tolist()
         if kind not in FIELDS:
-            out.append(pd.DataFrame({"line_id": ids, "kind": kind, "reason": "kind", "raw": raw}))
+            out.append(pd.DataFrame({"line_id": ids, "kind": kind, "reason": "kind", "judge": "grammar", "raw": raw}))
             continue
-        width = len(FIELDS[kind])
         bare = [None if x is None else _bare(x) for x in raw]
         plain = {
             i: x.replace("\n", _LF).replace("\r", _CR)
             for i, x in enumerate(bare)
-            if x and len(x) <= LONG_LINE and "\0" not in x and _LF not in x and _CR not in x
+            if x is not None and len(x) <= LONG_LINE and "\0" not in x and _LF not in x and _CR not in x
         }
-        rows, rejected = _read_file(con, plain, width) if plain else ({}, set())
+        # a line whose quoting may be broken stands in a file of its own, so that an open quote takes no neighbours along
+        alone = [i for i, x in plain.items() if '"' in x and not _RECORD.fullmatch(x)]
+        apart = set(alone)
+        rows, why, refused = _read_files(con, [[i for i in plain if i not in apart]], plain, kind)
+        for at in range(0, len(alone), 500):
+            more, errors, others = _read_files(con, [[i] for i in alone[at : at + 500]], plain, kind)
+            rows, why, refused = rows | more, why | errors, refused | others
         reason: dict[int, str] = {}
-        # Line-level errors meet their raw records here. Whatever the reader rejected, did not return, or returned from
-        # a record with quotes is judged again by the exact grammar, so that an open quote never takes its neighbours along.
+        judge: dict[int, str] = {}
         for i, x in enumerate(bare):
-            if i in rows and i not in rejected and '"' not in x and x.count(",") == width - 1:
+            if i in apart:
+                # rejected, or never finished; what was returned all the same has a quote where the reader allows it
+                reason[i], judge[i] = "quoting", "reader" if why.get(i) == "quoting" or not (i in rows or i in why or i in refused) else "grammar"
+                rows.pop(i, None)
+            elif i in why:
+                reason[i], judge[i] = why[i], "reader"
+                rows.pop(i, None)
+            elif i in rows:
                 rows[i] = [f.replace(_LF, "\n").replace(_CR, "\r") for f in rows[i]]
-                continue
-            fields = None if x is None else split_record(x)
-            rows.pop(i, None)
-            if x is not None and fields is None:
-                reason[i] = "quoting"
-            elif fields is None or len(fields) != width:
-                reason[i] = "columns"
-            else:
-                rows[i] = fields
+            elif i in plain and i not in refused:
+                raise RuntimeError(f"the reader neither returned nor rejected line {ids[i]}")
+            else:  # null, too long or with characters the reader can't take
+                fields = None if x is None else split_record(x)
+                judge[i] = "grammar"
+                if x is not None and fields is None:
+                    reason[i] = "quoting"
+                elif fields is None or len(fields) != len(FIELDS[kind]):
+                    reason[i] = "columns"
+                else:
+                    rows[i] = fields
         order = sorted(rows)
         typed = pd.DataFrame([rows[i] for i in order], columns=FIELDS[kind], dtype="object")
         typed.insert(0, "pos", order)
@@ -138,6 +179,7 @@ def _load_batch(con, pdf: pd.DataFrame) -> pd.DataFrame:
         typed = typed.set_index("pos")
         full = pd.DataFrame({"line_id": ids, "kind": kind, "raw": raw})
         full["reason"] = [reason.get(i) or (None if i in ok else "value") for i in range(len(raw))]
+        full["judge"] = [judge[i] if i in reason else None if i in ok else "rule" for i in range(len(raw))]
         typed = typed.loc[[i for i in order if i in ok]]
         if kind == "read":
             typed["is_fastq"] = typed["is_fastq"].eq("true")
@@ -154,8 +196,11 @@ def _load_batch(con, pdf: pd.DataFrame) -> pd.DataFrame:
 def load_records(lines: DataFrame, line_id: str = "line_id", kind: str = "kind", line: str = "line") -> DataFrame:
     """Parse one record per row; every input row comes out once, typed (``reason`` null) or rejected (``reason`` set).
 
-    Runs DuckDB's CSV reader with reject tables over files of up to one Arrow batch on the workers, joins its line-level
-    errors to the raw records, and judges rejected lines and lines with quotes once more by the exact grammar.
+    Runs DuckDB's CSV reader with typed columns and reject tables over files of up to one Arrow batch on the workers and
+    joins its line-level errors to the raw records; its rows are the typed rows and its errors the reasons. ``judge`` says
+    who rejected a line: 'reader'; 'rule' for what no type of the reader tells (letters of seq, length of qual, lengths);
+    'grammar' for a quote within an unquoted field, which the reader lets pass, and for lines it can't take (null, longer
+    than LONG_LINE, with NUL or the two stand-ins).
     Reasons, first that applies: 'kind' (neither read nor layout, or null), 'quoting', 'columns', 'value'. A null line is
     rejected as 'columns'; so is an empty one. A BOM before and a carriage return after a record don't count. Repeated
     lines give repeated rows. Lengths beyond a 64-bit integer keep their text and a null ``min_length``/``max_length``.
@@ -183,7 +228,7 @@ def load_records(lines: DataFrame, line_id: str = "line_id", kind: str = "kind",
 
 
 def rejected(loaded: DataFrame) -> DataFrame:
-    return loaded.where(F.col("reason").isNotNull()).select("line_id", "kind", "reason", "raw")
+    return loaded.where(F.col("reason").isNotNull()).select("line_id", "kind", "reason", "judge", "raw")
 
 
 def typed_reads(loaded: DataFrame) -> DataFrame:

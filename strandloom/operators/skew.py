@@ -55,5 +55,9 @@ def roll_up(totals: DataFrame, keys: list[str], measures: list[str]) -> DataFram
 
 
 def dominant_keys(totals: DataFrame, rows: int, share_percent: int, not_null: str) -> DataFrame:
-    """Keys holding at least ``share_percent`` of ``rows``, compared in whole numbers."""
-    return totals.where(F.col(not_null).isNotNull() & (F.col("n_rows") * 100 >= F.lit(share_percent * rows)))
+    """Keys holding at least ``share_percent`` of ``rows``, compared in whole numbers.
+
+    A key's rows are read from the joined state: its joined rows are its own times its matches.
+    """
+    matches = F.greatest(F.col("n_right"), F.lit(1))
+    return totals.where(F.col(not_null).isNotNull() & (F.col("n_joined") * 100 >= F.lit(share_percent * rows) * matches))

@@ -41,7 +41,12 @@ def p4_layout(spark, d):
     return rejects.typed_layout(_loaded(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_key_totals, p3_class_totals, p4_found, p4_reads, p4_layout)}
+def p4_judges(spark, d):
+    """How many lines of a reason were told by the reader, by a rule beyond its types, and by the grammar alone."""
+    return rejects.rejected(_loaded(spark, d)).groupBy("kind", "reason", "judge").agg(F.count(F.lit(1)).alias("n"))
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_key_totals, p3_class_totals, p4_found, p4_reads, p4_layout, p4_judges)}
 
 _TOTALS = """
 WITH e AS (SELECT class_id, barcode, count(*) n_rows, sum("count")::BIGINT sum_count FROM barcode_entry GROUP BY ALL),

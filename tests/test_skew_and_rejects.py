@@ -1,3 +1,4 @@
+import pytest
 from collections import Counter
 
 from pyspark.sql import functions as F
@@ -64,3 +65,35 @@ def test_an_open_quote_takes_no_neighbours(spark):
     got = rejects.load_records(spark.createDataFrame(bad, "line_id bigint, kind string, line string"))
     assert {r.line_id for r in got.where("reason is not null").collect()} == {i for i in range(500) if i % 7 == 0}
     assert rejects.load_records(spark.createDataFrame([], "line_id bigint, kind string, line string")).count() == 0
+
+
+def test_the_reader_decides(spark, monkeypatch):
+    import duckdb
+    import pandas as pd
+
+    con = duckdb.connect(":memory:")
+    pdf = pd.DataFrame([(i, k, x) for i, (k, x, _) in enumerate(LINES)], columns=["line_id", "kind", "line"])
+    got = {r.line_id: r.judge for r in rejects._load_batch(con, pdf).itertuples()}
+    assert {i: got[i] for i in (4, 5, 6, 7, 8, 9, 11, 15, 16, 22, 23)} == {4: "reader", 5: "reader", 6: "grammar", 7: "reader", 8: "reader", 9: "reader", 11: "rule", 15: "reader", 16: "rule", 22: "reader", 23: "reader"}
+    assert {got[i] for i in (10, 24, 25)} == {"grammar"} and all(pd.isna(got[i]) for i in (0, 1, 3, 17))
+    monkeypatch.setattr(rejects, "_read_files", lambda *a: ({}, {}, set()))
+    with pytest.raises(RuntimeError):
+        rejects._load_batch(con, pdf)
+
+
+def test_any_line_is_judged_as_the_grammar_judges_it():
+    import random
+
+    import duckdb
+    import pandas as pd
+
+    rng = random.Random(8)
+    parts = ["a", "ACGT", '"', '""', ",", ",", ",", " ", "true", "false", "\n", "\r", "\ufeff", "\0", "é", "\ue00a", "static", "1-2", "'", "\\"]
+    lines = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(4000)]
+    con = duckdb.connect(":memory:")
+    for kind in ("read", "layout"):
+        out = rejects._load_batch(con, pd.DataFrame({"line_id": range(len(lines)), "kind": kind, "line": lines})).sort_values("line_id")
+        for x, reason in zip(lines, out["reason"]):
+            fields = rejects.split_record(rejects._bare(x))
+            want = "quoting" if fields is None else "columns" if len(fields) != len(rejects.FIELDS[kind]) else None
+            assert reason == want if want else reason in (None, "value"), x
