@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandloom.session import cut
+from strandloom.session import cut, small_side
 
 #: Folder of the public tokenizer's vocabulary.
 TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
@@ -24,9 +24,12 @@ PIECE = 1 << 16
 
 #: Pricing steps of one round of the linear program, and how fast prices fall as a length is covered.
 STEPS, FALL = 80, 2.0
-#: Most rounds, extra worth of a text as long as the capacity, and lengths offered to one pricing
-#: step: half of them the dearest per token, half spread from the shortest to the longest.
-ROUNDS, RISE, OFFERED = 2, 0.2, 192
+#: Extra worth of a text as long as the capacity, and lengths offered to one pricing step: half of them the dearest per
+#: token, half spread from the shortest to the longest.
+RISE, OFFERED = 0.2, 64
+#: Part of the tokens that may be left to best fit, and how full a container of the program must be, one after the other
+#: as rounds find no fuller ones.
+REST, GATES = 0.01, (0.999, 0.99, 0.97, 0.9, 0.0)
 #: Parts of a group of texts of one length that are numbered apart.
 SALTS = 64
 
@@ -122,31 +125,46 @@ def _fractional(lengths: np.ndarray, left: np.ndarray, capacity: int) -> list[tu
     return out
 
 
-def plan(histogram: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
-    """Configurations (how many of each length) with how many containers are filled so. Covers the histogram exactly.
+def plan(histogram: dict[int, int], capacity: int) -> tuple[list[tuple[dict[int, int], int]], int]:
+    """Configurations (how many of each length) with how many containers are filled so, and how many of those the program
+    made. Covers the histogram exactly.
 
-    Rounds of the linear program are rounded to whole containers; what is left is placed longest first, where the least
-    space remains. Time and memory depend on the capacity, not on the number of texts.
+    The linear program is solved, rounded to whole containers, and solved again for what is left, until less than REST of
+    the tokens is; containers that are not nearly full wait for later rounds, where they may be filled better. Best fit,
+    longest first, places the rest. Time and memory depend on the capacity, not on the number of texts.
     """
     lengths = np.array(sorted(n for n, c in histogram.items() if c and n < capacity), np.int64)
     left = np.array([histogram[n] for n in lengths.tolist()], np.int64)
     out: list[tuple[dict[int, int], int]] = []
     if histogram.get(capacity):
         out.append(({capacity: 1}, histogram[capacity]))
-    for _ in range(ROUNDS):
-        done = False
+    total, gate = int((lengths * left).sum()), 0
+    while gate < len(GATES) and (lengths * left).sum() > max(REST * total, capacity):
         at = np.flatnonzero(left)
+        done = 0
         for q, x in sorted(_fractional(lengths[at], left[at], capacity), key=lambda c: -c[1]):
             used = q > 0
             m = min(max(1, int(x + 0.5)), int((left[at][used] // q[used]).min()))
-            # a container less than nearly full waits for the rest, where it may be filled better
-            if m and (q * lengths[at]).sum() >= 0.999 * capacity:
+            if m and (q * lengths[at]).sum() >= GATES[gate] * capacity:
                 left[at] -= m * q
                 out.append(({int(lengths[at[i]]): int(q[i]) for i in np.flatnonzero(used)}, m))
-                done = True
-        if not done:
-            break
-    return out + _place(lengths, left, capacity)
+                done += m * int((q * lengths[at]).sum())
+        if done < 0.2 * REST * total:
+            gate += 1
+    return out + _place(lengths, left, capacity), sum(m for _, m in out)
+
+
+def dual_bound(histogram: dict[int, int], capacity: int) -> int:
+    """Fewest containers that any packing needs, by feasible prices of the program's dual: no content of one container is
+    worth more than 1, so the worth of all texts is a bound. Prices tried: shares of the capacity; 1 for more than half of
+    it; and those in between for thirds."""
+    whole = histogram.get(capacity, 0)
+    rest = {n: c for n, c in histogram.items() if 0 < n < capacity}
+    area = -(-sum(n * c for n, c in rest.items()) // capacity)
+    halves = sum(c * (2 if 2 * n > capacity else 1 if 2 * n == capacity else 0) for n, c in rest.items())
+    # more than 2/3: 1, less than 1/3: 0, between: a half
+    thirds = sum(c * (2 if 3 * n > 2 * capacity else 1 if 3 * n >= capacity + 1 else 0) for n, c in rest.items())
+    return whole + max(area, -(-halves // 2), -(-thirds // 2))
 
 
 def _place(lengths: np.ndarray, left: np.ndarray, capacity: int) -> list[tuple[dict[int, int], int]]:
@@ -181,7 +199,8 @@ def _place(lengths: np.ndarray, left: np.ndarray, capacity: int) -> list[tuple[d
 
 
 def pack(sizes: DataFrame, capacity: int, key: str = "key", size: str = "n_tokens") -> DataFrame:
-    """Columns key, part, n_tokens, container: every text in a container, only those beyond the capacity split.
+    """Columns key, part, n_tokens, container, by_program: every text in a container, only those beyond the capacity split;
+    and whether the linear program made the container or best fit did.
 
     A text longer than the capacity gives full parts and one rest. Texts are numbered within their length (in SALTS
     parts, so that a length shared by a third of all texts is spread), and the plan says which numbers of a length go
@@ -200,7 +219,8 @@ def pack(sizes: DataFrame, capacity: int, key: str = "key", size: str = "n_token
     lookup: dict[int, list[tuple[int, int, int]]] = {}
     given: dict[int, int] = {}
     first = 0
-    for config, copies in plan(histogram, capacity):
+    groups, by_program = plan(histogram, capacity)
+    for config, copies in groups:
         for length, q in config.items():
             lookup.setdefault(length, []).append((given.get(length, 0), q, first))
             given[length] = given.get(length, 0) + copies * q
@@ -222,19 +242,20 @@ def pack(sizes: DataFrame, capacity: int, key: str = "key", size: str = "n_token
                     begins, q, firsts = shared.value[int(length)]
                     i = np.searchsorted(begins, numbers[at], side="right") - 1
                     container[at] = firsts[i] + (numbers[at] - begins[i]) // q[i]
-            yield pd.DataFrame({"key": pdf["key"], "part": pdf["part"], "n_tokens": pdf["n_tokens"], "container": container})
+            yield pd.DataFrame({"key": pdf["key"], "part": pdf["part"], "n_tokens": pdf["n_tokens"], "container": container, "by_program": container < by_program})
 
     kind = numbered.schema["key"].dataType.simpleString()
-    return numbered.mapInPandas(place, f"key {kind}, part int, n_tokens bigint, container bigint")
+    return numbered.mapInPandas(place, f"key {kind}, part int, n_tokens bigint, container bigint, by_program boolean")
 
 
 def pack_texts(docs: DataFrame, kinds: DataFrame, key: str, text: str, folder: str = TOKENIZERS) -> DataFrame:
     """Pack all texts for every (kind, capacity) of ``kinds``; they are tokenized once, into a table in the shared folder."""
     sizes = cut(count_tokens(docs, key, text, folder))
+    wanted = kinds.select("kind", "capacity").where("capacity > 0").distinct()
     out = None
-    for kind, capacity in sorted(kinds.select("kind", "capacity").distinct().where("capacity > 0").limit(1000).collect()):
-        part = pack(sizes, int(capacity)).select(F.lit(kind).alias("kind"), "container", "key", "part", "n_tokens")
+    for (capacity,) in sorted(wanted.select("capacity").distinct().collect()):  # kinds of one capacity share its containers
+        part = pack(sizes, int(capacity)).select(F.lit(capacity).alias("capacity"), "container", "key", "part", "n_tokens", "by_program")
         out = part if out is None else out.unionByName(part)
     if out is None:
-        return sizes.limit(0).select(F.lit("").alias("kind"), F.lit(0).cast("bigint").alias("container"), "key", F.lit(0).alias("part"), "n_tokens")
-    return out
+        out = sizes.select(F.lit(0).alias("capacity"), F.lit(0).cast("bigint").alias("container"), "key", F.lit(0).alias("part"), "n_tokens", F.lit(True).alias("by_program")).limit(0)
+    return out.join(small_side(wanted), "capacity").select("kind", "container", "key", "part", "n_tokens", "by_program")

@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from strandloom.llm import canonical, leak, lookalike, packing
 
@@ -191,19 +192,29 @@ def test_plans_cover_and_fit():
             h = Counter(rng.randint(1, capacity) for _ in range(n))
             got = Counter()
             bins = 0
-            for config, copies in packing.plan(dict(h), capacity):
+            groups, _ = packing.plan(dict(h), capacity)
+            for config, copies in groups:
                 assert sum(k * c for k, c in config.items()) <= capacity
                 bins += copies
                 for k, c in config.items():
                     got[k] += c * copies
             assert +got == h
             least = -(-sum(k * c for k, c in h.items()) // capacity)
-            assert bins >= least
+            assert bins >= packing.dual_bound(dict(h), capacity) >= least
             if n == 5000 and capacity >= 100:
                 big = sum(c for k, c in h.items() if 2 * k > capacity)
                 assert bins <= 1.02 * max(least, big) + 5
 
 
+def test_the_program_fills_what_best_fit_cannot():
+    h = {51: 600, 27: 600, 26: 600, 23: 1200}
+    lengths = np.array(sorted(h))
+    alone = sum(m for _, m in packing._place(lengths, np.array([h[n] for n in lengths.tolist()]), 100))
+    groups, by_program = packing.plan(h, 100)
+    made = sum(m for _, m in groups)
+    assert made <= 0.9 * alone and by_program >= 0.95 * made and packing.dual_bound(h, 100) <= made <= 910
+
+
 def test_pricing_is_exact():
     lengths, prices = np.array([3, 5, 7]), np.array([2.0, 4.0, 6.5])
     q = packing.price_configuration(lengths, prices, np.array([9, 1, 2]), 16)
@@ -234,4 +245,6 @@ def test_texts_are_counted_and_packed(spark):
     assert n[1] == 2 and n[2] == n[3] == 0 and abs(n[4] - 60_000) <= 2
     kinds = spark.createDataFrame([("a", 1000), ("a", 1000), ("none", 0), ("null", None)], "kind string, capacity int")
     got = packing.pack_texts(df, kinds, "doc_id", "text").collect()
+    many = spark.range(1001).select(F.concat(F.lit("k"), "id").alias("kind"), (F.col("id") % 2 + 900).cast("int").alias("capacity"))
+    assert packing.pack_texts(df, many, "doc_id", "text").select("kind").distinct().count() == 1001
     assert {r.kind for r in got} == {"a"} and sum(r.n_tokens for r in got) == sum(n.values()) and {r.key for r in got} == {1, 2, 3, 4}
