@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 UNMATCHED = "UNMATCHED"
 #: Most edits between the bases written and an entry.
 MAX_EDITS = 2
-#: Largest reference list, in rows, that goes to every worker; a longer one is refused rather than cut.
-LIST_ROWS = 500_000
+#: Largest reference list, in characters, that goes to every worker whole; a longer one is joined on deletions.
+LIST_CHARS = 400_000
 
 #: Order of the bases in the decimal two-bit code.
 CODE_ORDER = "ACTG"
@@ -26,13 +26,23 @@ _SUFFIX = re.compile(r"[-_.]\d{1,3}\s*$")
 _WRAP = " \t\r\n\"'`()[]{}<>#*?!;,.:|"
 _BREAK = re.compile(r"[\s._\-]+")
 _LETTERS = re.compile(r"[ACGTUNRYKMSWBDHV]+")
-_RUN = re.compile(r"[ACGTUN]{8,}(?:[ ._-]{1,2}[ACGTUN]+)*")
+_BASES = frozenset("ACGTUN")
+_PARTING = frozenset(" ._-")
+#: Bases in a row that are read within other words, or less where entries are as short.
+RUN = 8
 
 
 def revcomp(s: str) -> str:
     return s.translate(_COMPLEMENT)[::-1]
 
 
+def encode(bases: str) -> int:
+    n = 0
+    for b in bases:
+        n = n * 4 + CODE_ORDER.index(b)
+    return n
+
+
 def decode(n: int, length: int) -> str:
     """Bases of a decimal two-bit code, the first base in the highest bits."""
     return "".join(CODE_ORDER[n >> 2 * i & 3] for i in range(length - 1, -1, -1))
@@ -47,14 +57,29 @@ def bases_written(value: str, lengths: list[int]) -> list[str]:
     """
     text = _TAG.sub("", value).strip(_WRAP)
     if text.isascii() and text.isdigit():
-        n = int(text)
+        digits = text.lstrip("0") or "0"
+        if len(digits) > len(str(2 * 4 ** max(lengths, default=0))):
+            return []
+        n = int(digits)
         plain = [decode(n, k) for k in lengths if n < 4**k]
         return plain + [decode(n - 4**k, k) for k in lengths if 4**k <= n < 2 * 4**k]
     text = _SUFFIX.sub("", text).strip(_WRAP).upper()
     joined = _BREAK.sub("", text)
     if _LETTERS.fullmatch(joined):
         return [joined.replace("U", "T")]
-    return [_BREAK.sub("", m[0]).replace("U", "T") for m in _RUN.finditer(text)]
+    least = max(1, min(RUN, min(lengths, default=RUN) - MAX_EDITS))
+    return [_BREAK.sub("", m[0]).replace("U", "T") for m in re.finditer(rf"[ACGTUN]{{{least},}}(?:[ ._-]{{1,2}}[ACGTUN]+)*", text)]
+
+
+def _ends(text: str, at: int, step: int) -> bool:
+    """Whether a mention's side is free: beyond the signs that part groups of bases no base follows."""
+    for _ in range(3):
+        if not 0 <= at < len(text):
+            return True
+        if text[at] not in _PARTING:
+            return text[at] not in _BASES
+        at += step
+    return True
 
 
 def _codes(texts: list[str], width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -103,23 +128,46 @@ class ReferenceList:
         self.lengths = sorted({len(e) for e in self.entries})
         self.forms = [(e, e) for e in self.entries] + [(revcomp(e), e) for e in self.entries]
         self.automaton = ahocorasick.Automaton()
-        for form, entry in reversed(self.forms):  # a forward form outranks the other strand of another entry
-            self.automaton.add_word(form, (len(form), entry))
+        names = [(form, (form, entry, False)) for form, entry in self.forms]
+        plain = [e for e in self.entries if set(e) <= set(CODE_ORDER)]
+        # aliases: the two-bit code, plain or behind a one
+        for lead in (0, 1):
+            for e in sorted(plain, key=len):
+                names.append((alias := str(encode(e) + lead * 4 ** len(e)), (alias, e, True)))
+        for name, found in reversed(names):  # a forward form outranks the other strand of another entry, a plain code one behind a one
+            self.automaton.add_word(name, found)
         self.automaton.make_automaton()
         self.width = max(self.lengths, default=0)
         self.codes, self.sizes = _codes([f for f, _ in self.forms], max(3, self.width))
         self.sets = _token_sets(self.codes)
 
-    def mention(self, bases: str) -> str | None:
-        """Of the mentions in the bases, longest first and none overlapping, the one that covers them whole.
+    def mention(self, value: str) -> str | None:
+        """The entry that a value mentions, embedded in whatever else it says: of all hits of the automaton the longest that
+        doesn't overlap a longer one and stands free of other bases. A code must be all the value says.
 
-        A mention with bases left over stands at one edit or more, where another entry may be as close; it goes on to
-        the token sets with the rest.
+        Hits with bases beside them stand at one edit or more, where another entry may be as close; such values go on to
+        the token sets.
         """
         if not self.forms:
             return None
-        found = sorted(((end - n, n, e) for end, (n, e) in self.automaton.iter(bases)), key=lambda m: (-m[1], m[0]))
-        return found[0][2] if found and found[0][1] == len(bases) else None
+        text = _TAG.sub("", value).strip(_WRAP).upper().replace("U", "T")
+        joined = _BREAK.sub("", _SUFFIX.sub("", text).strip(_WRAP))
+        digits = text.isascii() and text.isdigit()
+        texts = [text] if digits or not _LETTERS.fullmatch(joined) else [joined]  # parted groups of bases are one word
+        for t in texts:
+            taken: list[tuple[int, int]] = []
+            hits = [(end + 1 - len(name), end + 1, entry, code) for end, (name, entry, code) in self.automaton.iter(t)]
+            for lo, hi, entry, code in sorted(hits, key=lambda h: (h[0] - h[1], h[0])):
+                if any(lo < b and a < hi for a, b in taken):
+                    continue
+                taken.append((lo, hi))
+                if code == digits and (hi - lo == len(t) if code else self._free(t, lo, hi)):
+                    return entry
+        return None
+
+    def _free(self, text: str, lo: int, hi: int) -> bool:
+        """Free of other bases on both sides; in a word of bases alone, all of it."""
+        return _ends(text, lo - 1, -1) and _ends(text, hi, 1) and (not _LETTERS.fullmatch(text) or hi - lo == len(text))
 
     def closest(self, bases: list[str], block: int = 1 << 22) -> list[tuple[int, str] | None]:
         """For each the (edits, entry) at the fewest edits, MAX_EDITS at most; ties go to the first entry in order.
@@ -153,12 +201,11 @@ def map_values(values: list[str], ref: ReferenceList) -> list[str]:
     best: list[tuple[int, str] | None] = [None] * len(values)
     rest: dict[str, list[int]] = defaultdict(list)
     for i, value in enumerate(values):
-        readings = bases_written(value, ref.lengths)
-        exact = next((e for e in map(ref.mention, readings) if e), None)
+        exact = ref.mention(value)
         if exact:
             best[i] = (0, exact)
         else:
-            for r in readings:
+            for r in bases_written(value, ref.lengths):
                 rest[r].append(i)
     for hit, at in zip(ref.closest(list(rest)), rest.values()):
         for i in at:
@@ -167,21 +214,32 @@ def map_values(values: list[str], ref: ReferenceList) -> list[str]:
     return [b[1] if b else UNMATCHED for b in best]
 
 
-def map_to_list(values: DataFrame, entries: DataFrame, class_id: str = "class_id", value: str = "value", barcode: str = "barcode", keep: tuple[str, ...] = ()) -> DataFrame:
+def deletions(bases: str, most: int = MAX_EDITS) -> set[str]:
+    """The bases with up to ``most`` of them left out. Two texts within that many edits share one such rest."""
+    out = shell = {bases}
+    for _ in range(most):
+        shell = {s[:i] + s[i + 1 :] for s in shell for i in range(len(s))}
+        out = out | shell
+    return out
+
+
+def map_to_list(values: DataFrame, entries: DataFrame, class_id: str = "class_id", value: str = "value", barcode: str = "barcode", keep: tuple[str, ...] = (), list_chars: int = LIST_CHARS) -> DataFrame:
     """Map every non-null value to the closest entry of its class: columns ``keep``, class_id, value, canonical.
 
-    The reference list is small by contract (``LIST_ROWS``, checked) and goes to every worker once; the values are never
-    shuffled, so a value written in a third of all rows costs one lookup per batch. Null values, and values of a null
-    class or one without entries, come out UNMATCHED. Texts of any length are read whole. Ties go to the entry first in
-    order. Repeated rows come out as often as they go in. Columns not named are dropped, so clashing names do no harm.
+    A list of up to ``list_chars`` characters (checked) goes to every worker once; then the values are never shuffled, so a
+    value written in a third of all rows costs one lookup per batch. A longer list (of millions) stays where it is:
+    distinct values meet it by an equi-join on what up to two deletions leave of either, which loses no pair within two
+    edits; results are the same. Null values, and values of a null class or one without entries, come out UNMATCHED. Texts
+    of any length are read whole. Ties go to the entry first in order. Repeated rows come out as often as they go in.
+    Columns not named are dropped, so clashing names do no harm.
     """
-    listed = entries.select(F.col(class_id), F.col(barcode)).where(F.col(class_id).isNotNull() & (F.length(barcode) > 0)).distinct()
-    rows = listed.limit(LIST_ROWS + 1).collect()
-    if len(rows) > LIST_ROWS:
-        raise ValueError(f"the reference list has more than {LIST_ROWS} entries")
+    listed = entries.select(F.col(class_id).alias("class_id"), F.upper(barcode).alias("barcode")).where(F.col("class_id").isNotNull() & (F.length("barcode") > 0)).distinct()
+    src = values.select(*keep, F.col(class_id).alias("__class"), F.col(value).alias("__value"))
+    if (listed.agg(F.sum(F.length("barcode"))).first()[0] or 0) > list_chars:
+        return _join_long_list(src, listed, keep)
     by_class: dict[str, list[str]] = defaultdict(list)
-    for c, b in rows:
-        by_class[c].append(b.upper())
+    for c, b in listed.collect():
+        by_class[c].append(b)
     shared = values.sparkSession.sparkContext.broadcast(dict(by_class))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -200,6 +258,37 @@ def map_to_list(values: DataFrame, entries: DataFrame, class_id: str = "class_id
             pdf["canonical"] = [known.get(p, UNMATCHED) for p in pairs]
             yield pdf.rename(columns={"__class": "class_id", "__value": "value"})
 
-    src = values.select(*keep, F.col(class_id).alias("__class"), F.col(value).alias("__value"))
     kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in src.schema.fields[: len(keep)])
     return src.mapInPandas(run, f"{kept}class_id string, value string, canonical string")
+
+
+def _join_long_list(src: DataFrame, listed: DataFrame, keep: tuple[str, ...]) -> DataFrame:
+    lengths: dict[str, list[int]] = defaultdict(list)
+    for c, n in listed.select("class_id", F.length("barcode")).distinct().orderBy("class_id", F.length("barcode")).collect():  # a few lengths a class
+        lengths[c].append(n)
+    lengths = dict(lengths)
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for c, v in zip(pdf["class_id"].tolist(), pdf["value"].tolist()):
+                for r in set(bases_written(v, lengths[c])) if c in lengths else ():
+                    if r and lengths[c][0] - MAX_EDITS <= len(r) <= lengths[c][-1] + MAX_EDITS:
+                        rows += [(c, v, r, k) for k in deletions(r)]
+            yield pd.DataFrame(rows, columns=["class_id", "value", "bases", "rest"])
+
+    def forms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [(c, b, f, k) for c, b in zip(pdf["class_id"].tolist(), pdf["barcode"].tolist()) for f in {b, revcomp(b)} for k in deletions(f)]
+            yield pd.DataFrame(rows, columns=["class_id", "barcode", "form", "rest"])
+
+    distinct = src.select(F.col("__class").alias("class_id"), F.col("__value").alias("value")).dropna().distinct()
+    asked = distinct.mapInPandas(read, "class_id string, value string, bases string, rest string")
+    held = listed.mapInPandas(forms, "class_id string, barcode string, form string, rest string")
+    met = asked.join(held, ["class_id", "rest"]).select("class_id", "value", "bases", "barcode", "form").distinct()
+    # an ambiguous base differs from every base, from itself too
+    odd = F.translate("bases", "RYKMSWBDHVN", "###########")
+    near = met.withColumn("edits", F.levenshtein(odd, F.translate("form", "RYKMSWBDHVN", "@@@@@@@@@@@"), MAX_EDITS)).where("edits >= 0")
+    best = near.groupBy("class_id", "value").agg(F.min(F.struct("edits", "barcode"))["barcode"].alias("canonical"))
+    out = src.join(best.toDF("__class", "__value", "canonical"), ["__class", "__value"], "left")
+    return out.select(*keep, F.col("__class").alias("class_id"), F.col("__value").alias("value"), F.coalesce("canonical", F.lit(UNMATCHED)).alias("canonical"))

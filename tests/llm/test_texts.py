@@ -61,6 +61,38 @@ def test_mapping_rows(spark):
     assert canonical.map_to_list(df, lists.limit(0), keep=("id",)).where("canonical <> 'UNMATCHED'").count() == 0
 
 
+def test_mentions_are_taken_longest_first_and_free_of_other_bases():
+    e, f = "AAACCTGAGAAACCAT", "CCTGAGAAACCATGGTT"
+    ref = canonical.ReferenceList([e, f, "AAACCTGAGAAACC"])
+    for value, want in {
+        f"well{e}plate": e, f"x{f}x": f, f"<{e}>|{e[:5]}": e, f"lot 7: {e}/{f}": f, f"zz{e}-G": None, f"{e}G": None, f"G{e}": None, f"no{e}N": None, f"{e}-1": e, "see 12": None,
+        str(canonical.encode(e)): e, f"0{canonical.encode(e)}": None, f"7{canonical.encode(e)}": None, "9" * 5000: None,
+    }.items():
+        assert ref.mention(value) == want, value
+    assert canonical.map_values([f"well{e}plate", f"0{canonical.encode(e)}", "9" * 5000, f"{e}G", "no" + f[:-1] + "x"], ref) == [e, e, canonical.UNMATCHED, e, f]
+
+
+def test_a_long_list_gives_what_a_short_one_gives(spark):
+    rng = random.Random(12)
+    dna = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    lists = [("a", dna(rng.choice([14, 15, 16]))) for _ in range(300)] + [("b", dna(9)) for _ in range(40)] + [("b", "ACGTNACGT"), (None, "ACGT"), ("b", None)]
+    rows = []
+    for i in range(1500):
+        c, b = rng.choice(lists[:340])
+        s = list(b)
+        for _ in range(rng.randint(0, 4)):
+            j = rng.randrange(len(s))
+            s[j : j + 1] = rng.choice(["", "A", "CG", "N"])
+        s = "".join(s)
+        s = rng.choice([s, canonical.revcomp(s), s.lower(), f"CB:Z:{s}-1", f"well{s}plate", "-".join(s), str(canonical.encode(b)), f"see {s[:4]} {s[4:]}"])
+        rows.append((i, c, s))
+    rows += [(-1, "a", None), (-2, None, "ACGT"), (-3, "c", "ACGT"), (-4, "a", ""), (-5, "a", "9" * 5000), (-6, "a", "x" * 100_000), (-7, "b", "ACGTNACGT"), (1, *rows[1][1:])]
+    df = spark.createDataFrame(rows, "id int, class_id string, value string").withColumn("barcode", df_lit("clash"))
+    entries = spark.createDataFrame(lists, "class_id string, barcode string")
+    short, long = (sorted(map(tuple, canonical.map_to_list(df, entries, keep=("id",), list_chars=n).collect()), key=repr) for n in (10**6, 10))
+    assert short == long and len(long) == len(rows) and sum(r[3] == canonical.UNMATCHED for r in long) < 900
+
+
 def df_lit(x):
     from pyspark.sql import functions as F
 
