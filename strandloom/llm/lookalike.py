@@ -12,25 +12,34 @@ from pyspark.sql import functions as F
 
 from strandloom.session import cut
 
-#: Letters of other scripts (or of phonetic alphabets) and the Latin letters they look like.
+#: Letters of other scripts (or of phonetic alphabets) and the Latin letters they look like in upright type. No
+#: two letters of a script stand for the same one, so that nothing is merged within a script (tests/llm holds this).
 LOOKALIKES = {
     # Cyrillic
-    "а": "a", "с": "c", "ԁ": "d", "е": "e", "һ": "h", "і": "i", "ј": "j", "ӏ": "l", "о": "o", "р": "p", "ԛ": "q", "ѕ": "s",
-    "ѵ": "v", "ԝ": "w", "х": "x", "у": "y", "к": "k", "А": "A", "В": "B", "С": "C", "Е": "E", "Н": "H", "І": "I", "Ј": "J",
-    "К": "K", "М": "M", "О": "O", "Р": "P", "Ԛ": "Q", "Ѕ": "S", "Т": "T", "Ѵ": "V", "Ԝ": "W", "Х": "X", "У": "Y", "Ӏ": "I",
-    "Ү": "Y", "ү": "y", "Ԍ": "G", "ԍ": "g", "Ь": "b", "г": "r", "п": "n", "т": "t", "м": "m", "в": "b", "н": "h",
+    "а": "a", "Ь": "b", "с": "c", "ԁ": "d", "е": "e", "ԍ": "g", "һ": "h", "і": "i", "ј": "j", "к": "k", "ӏ": "l", "о": "o", "р": "p",
+    "ԛ": "q", "ѕ": "s", "ѵ": "v", "ԝ": "w", "х": "x", "у": "y", "А": "A", "В": "B", "С": "C", "Е": "E", "Ԍ": "G", "Н": "H", "І": "I",
+    "Ј": "J", "К": "K", "М": "M", "О": "O", "Р": "P", "Ԛ": "Q", "Ѕ": "S", "Т": "T", "Ѵ": "V", "Ԝ": "W", "Х": "X", "У": "Y",
     # Greek
-    "α": "a", "ο": "o", "ν": "v", "ρ": "p", "ι": "i", "κ": "k", "τ": "t", "υ": "u", "χ": "x", "γ": "y", "ϲ": "c", "ϳ": "j", "η": "n",
-    "ω": "w", "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P",
-    "Τ": "T", "Υ": "Y", "Χ": "X", "Ϲ": "C", "Ϳ": "J", "ϒ": "Y",
-    # Armenian, phonetic and other
-    "օ": "o", "ս": "u", "հ": "h", "ց": "g", "զ": "q", "Օ": "O", "Տ": "S", "ɑ": "a", "ɡ": "g", "ɩ": "i", "ʋ": "v", "ꓐ": "B", "ꓑ": "P",
-    "ꓓ": "D", "ꓔ": "T", "ꓖ": "G", "ꓗ": "K", "ꓙ": "J", "ꓚ": "C", "ꓜ": "Z", "ꓝ": "F", "ꓟ": "M", "ꓠ": "N", "ꓡ": "L", "ꓢ": "S",
-    "ꓣ": "R", "ꓦ": "V", "ꓧ": "H", "ꓪ": "W", "ꓫ": "X", "ꓬ": "Y", "ꓮ": "A", "ꓰ": "E", "ꓲ": "I", "ꓳ": "O", "ꓴ": "U",
+    "α": "a", "ϲ": "c", "ι": "i", "ϳ": "j", "κ": "k", "η": "n", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "ν": "v", "ω": "w", "χ": "x",
+    "γ": "y", "Α": "A", "Β": "B", "Ϲ": "C", "Ε": "E", "Η": "H", "Ι": "I", "Ϳ": "J", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P",
+    "Τ": "T", "Χ": "X", "Υ": "Y", "Ζ": "Z",
+    # Armenian
+    "ց": "g", "հ": "h", "յ": "j", "ո": "n", "օ": "o", "զ": "q", "ս": "u", "Լ": "L", "Օ": "O", "Տ": "S", "Ս": "U",
+    # Coptic
+    "ⲥ": "c", "ⲓ": "i", "ⲟ": "o", "ⲣ": "p", "Ⲃ": "B", "Ⲥ": "C", "Ⲉ": "E", "Ⲏ": "H", "Ⲓ": "I", "Ⲕ": "K", "Ⲙ": "M", "Ⲛ": "N", "Ⲟ": "O",
+    "Ⲣ": "P", "Ⲧ": "T", "Ⲭ": "X", "Ⲩ": "Y", "Ⲍ": "Z",
+    # Cherokee
+    "Ꭺ": "A", "Ᏼ": "B", "Ꮯ": "C", "Ꭰ": "D", "Ꭼ": "E", "Ꮐ": "G", "Ꮋ": "H", "Ꭻ": "J", "Ꮶ": "K", "Ꮮ": "L", "Ꮇ": "M", "Ꮲ": "P", "Ꭱ": "R",
+    "Ꮪ": "S", "Ꭲ": "T", "Ꮩ": "V", "Ꮃ": "W", "Ꮓ": "Z",
+    # Lisu
+    "ꓮ": "A", "ꓐ": "B", "ꓚ": "C", "ꓓ": "D", "ꓰ": "E", "ꓝ": "F", "ꓖ": "G", "ꓧ": "H", "ꓲ": "I", "ꓙ": "J", "ꓗ": "K", "ꓡ": "L", "ꓟ": "M",
+    "ꓠ": "N", "ꓳ": "O", "ꓑ": "P", "ꓣ": "R", "ꓢ": "S", "ꓔ": "T", "ꓴ": "U", "ꓦ": "V", "ꓪ": "W", "ꓫ": "X", "ꓬ": "Y", "ꓜ": "Z",
+    # phonetic
+    "ɑ": "a", "ɡ": "g", "ɩ": "i", "ʋ": "v",
 }
 
 #: Kinds of compatibility decomposition that are other forms of the same letters.
-FORMS = ("<wide>", "<narrow>", "<initial>", "<medial>", "<final>", "<isolated>")
+FORMS = ("<wide>", "<narrow>", "<font>", "<initial>", "<medial>", "<final>", "<isolated>")
 #: Marks without a shape of their own beside the format characters: grapheme joiner, variation selectors, fillers.
 SHAPELESS = {0x034F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x3164, 0xFFA0, *range(0x180B, 0x1810), *range(0xFE00, 0xFE10)}
 
@@ -173,8 +182,8 @@ def uniform(texts: list[str], table: _Table | None = None) -> list[str]:
 def uniform_texts(docs: DataFrame, key: str, text: str) -> DataFrame:
     """Columns key, text and ``form``: every text in its one form (null stays null, the empty text empty).
 
-    Texts are taken apart into positioned code points as arrays of an Arrow batch, where the mappings are joined to them;
-    a row per character would cost a hundred times as much. No shuffle. Whole texts of any length are worked on, batch by
+    Texts are taken apart into positioned code points as arrays of an Arrow batch, where the mappings are joined to them
+    (README states what a row per character costs instead). No shuffle. Whole texts of any length are worked on, batch by
     batch. Other columns are dropped.
     """
 
@@ -201,6 +210,17 @@ def uniform_texts(docs: DataFrame, key: str, text: str) -> DataFrame:
     return src.mapInPandas(run, f"key {kind}, text string, form string")
 
 
+def representatives(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """The same groups without all their pairs, linear in the documents: key, ``variant`` (the least key with the same text)
+    and ``form_rep`` (the least key with the same form), for documents whose form has several texts as stored."""
+    shapes = uniform_texts(docs, key, text).where("key is not null and text is not null")
+    digest = lambda c: F.unhex(F.sha2(c, 256))
+    shapes = cut(shapes.select("key", digest("text").alias("stored"), digest("form").alias("form")))
+    kinds = shapes.groupBy("form", "stored").agg(F.min("key").alias("variant"))
+    forms = kinds.groupBy("form").agg(F.min("variant").alias("form_rep"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    return shapes.join(forms, "form").join(kinds, ["form", "stored"]).select("key", "variant", "form_rep")
+
+
 def same_looking(docs: DataFrame, key: str, text: str) -> DataFrame:
     """Pairs (``a`` < ``b``) of keys whose texts differ as stored and are equal in their one form.
 

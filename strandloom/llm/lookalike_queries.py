@@ -17,6 +17,12 @@ def p9_forms(spark, d):
     return forms.select(F.col("key").alias("doc_id"), "form", (~F.col("text").eqNullSafe(F.col("form"))).alias("changed"))
 
 
-QUERIES = {"p9_found": p9_found, "p9_forms": p9_forms}
+def p9_groups(spark, d):
+    """Groups of texts that look the same, by representatives."""
+    groups = lookalike.representatives(table(spark, d, "documents", "doc_id", "text"), "doc_id", "text")
+    return groups.withColumnRenamed("key", "doc_id")
+
+
+QUERIES = {"p9_found": p9_found, "p9_forms": p9_forms, "p9_groups": p9_groups}
 #: DuckDB has no table of look-alikes or mark classes; tests/llm compares with a plain character-wise version.
 SQL: dict[str, str] = {}

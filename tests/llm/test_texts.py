@@ -280,3 +280,25 @@ def test_texts_are_counted_and_packed(spark):
     many = spark.range(1001).select(F.concat(F.lit("k"), "id").alias("kind"), (F.col("id") % 2 + 900).cast("int").alias("capacity"))
     assert packing.pack_texts(df, many, "doc_id", "text").select("kind").distinct().count() == 1001
     assert {r.kind for r in got} == {"a"} and sum(r.n_tokens for r in got) == sum(n.values()) and {r.key for r in got} == {1, 2, 3, 4}
+
+
+def test_no_two_letters_of_a_script_become_one():
+    seen = {}
+    for letter, latin in lookalike.LOOKALIKES.items():
+        key = (unicodedata.name(letter).split()[0], latin)
+        assert key not in seen, (letter, seen[key])
+        seen[key] = letter
+    for a, b in (("вода", "Ьода"), ("год", "rод"), ("там", "tам"), ("пол", "nол")):
+        assert len(set(lookalike.uniform([a, b]))) == 2
+    for a, b in (("Ꭺpple", "Apple"), ("ⲟne", "one"), ("ոo", "no"), ("ՍSA", "USA"), ("𝐚b", "ab"), ("ℓ", "l"), ("Ѕаmе", "Same")):
+        assert len(set(lookalike.uniform([a, b]))) == 1, (a, b)
+    assert lookalike.uniform(["x²½ª"]) == ["x²½ª"]
+
+
+def test_representatives_stand_for_all_pairs(spark):
+    rows = [(1, "cat"), (2, "саt"), (3, "cat"), (4, "ｃat"), (5, "dog"), (6, "dog"), (7, None), (None, "cat"), (8, "")]
+    df = spark.createDataFrame(rows, "k bigint, t string")
+    got = {r.key: (r.variant, r.form_rep) for r in lookalike.representatives(df, "k", "t").collect()}
+    assert got == {1: (1, 1), 3: (1, 1), 2: (2, 1), 4: (4, 1)}
+    pairs = {(r.a, r.b) for r in lookalike.same_looking(df, "k", "t").collect()}
+    assert pairs == {(a, b) for a in got for b in got if a < b and got[a][1] == got[b][1] and got[a][0] != got[b][0]}
