@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandloom.session import cut
+
 #: A container of a trie holds this many terms before it bursts into one container per next character.
 CONTAINER = 2048
 #: Routes are split until each carries at most this share of the rows, or ROUTE_ROWS rows if that is more.
@@ -82,20 +84,21 @@ def burst_prefixes(rows: DataFrame) -> dict[str, set[str]]:
     A pass counts the rows below every prefix of up to STEP more characters; prefixes with too many rows burst. Only
     where a prefix at the last level is still too heavy, its terms are looked at again, STEP characters further on.
     """
-    total = rows.count()
+    terms = cut(rows.groupBy("field", "term").agg(F.count(F.lit(1)).alias("n")))  # read once a level
+    total = terms.agg(F.sum("n")).first()[0] or 0
     most = max(ROUTE_ROWS, total // ROUTES)
     burst: dict[str, set[str]] = {}
     if total <= most:
         return burst
-    depth, at = 0, rows
+    depth, at = 0, terms
     while True:
         levels = F.explode(F.sequence(F.lit(depth), F.least(F.lit(depth + STEP), F.length("term") - 1)))
         heavy = (
             at.where(F.length("term") > depth)
-            .select("field", "term", levels.alias("k"))
+            .select("field", "term", "n", levels.alias("k"))
             .groupBy("field", F.expr("substring(term, 1, k)").alias("prefix"))
-            .agg(F.count(F.lit(1)).alias("n"), F.min("term").alias("first"), F.max("term").alias("last"))
-            .where((F.col("n") > most) & (F.col("first") != F.col("last")))  # the rows of a single term are one entry
+            .agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("terms"))
+            .where((F.col("n") > most) & (F.col("terms") > 1))  # the rows of a single term are one entry
             .select("field", "prefix")
             .collect()
         )
@@ -106,7 +109,7 @@ def burst_prefixes(rows: DataFrame) -> dict[str, set[str]]:
             return burst
         depth += STEP
         keys = rows.sparkSession.createDataFrame(deepest, "field string, prefix string")
-        at = rows.withColumn("prefix", F.substring("term", 1, depth)).join(F.broadcast(keys), ["field", "prefix"], "left_semi").drop("prefix")
+        at = terms.withColumn("prefix", F.substring("term", 1, depth)).join(F.broadcast(keys), ["field", "prefix"], "left_semi").drop("prefix")
 
 
 def route(term: str, burst: set[str]) -> str:
@@ -192,7 +195,8 @@ def count_terms(rows: DataFrame, term: str, record: str, field: Column | None =
     return met.mapInPandas(merge, "field string, term string, occurrences bigint, records bigint")
 
 
-def mark_terms(counted: DataFrame, records: int, rare: int, common_permille: int) -> DataFrame:
-    """Add ``mark``: 'rare' for terms in at most ``rare`` records, else 'common' from that share of all records, else null."""
+def mark_terms(counted: DataFrame, records: int | Column, rare: int, common_permille: int | Column) -> DataFrame:
+    """Add ``mark``: 'rare' for terms in at most ``rare`` records, else 'common' from that share of all records, else null.
+    The number of all records and the share may be columns, where fields differ in them."""
     mark = F.when(F.col("records") <= rare, "rare").when(F.col("records") * 1000 >= common_permille * records, "common")
     return counted.withColumn("mark", mark)

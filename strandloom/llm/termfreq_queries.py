@@ -23,12 +23,9 @@ def p2_frequencies(spark, d):
         for f, (df, t, r, w) in rows.items()
     ]
     counted = termfreq.count_terms(sides[0].unionByName(sides[1]), "term", "record", F.col("field"), F.col("w"), ["delivery"])
-    out = None
-    for f, (df, _, r, _) in rows.items():
-        n = df.select(r).distinct().where(F.col(r).isNotNull()).count()
-        part = termfreq.mark_terms(counted.where(F.col("field") == f), n, RARE, COMMON[f])
-        out = part if out is None else out.unionByName(part)
-    return out.withColumnRenamed("term", "barcode")
+    totals = {f: df.select(r).distinct().where(F.col(r).isNotNull()).count() for f, (df, _, r, _) in rows.items()}
+    of = lambda values: F.create_map(*(F.lit(x) for kv in values.items() for x in kv))[F.col("field")]
+    return termfreq.mark_terms(counted, of(totals), RARE, of(COMMON)).withColumnRenamed("term", "barcode")
 
 
 def p2_found(spark, d):
