@@ -14,6 +14,11 @@ def _c(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def bind(c: Column, f) -> Column:
+    """f(c) with c worked out once, however often f names it."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
 def revcomp(c: str | Column) -> Column:
     """Reverse complement; characters other than upper-case ACGT stay, in reversed place."""
     return F.reverse(F.translate(_c(c), BASES, COMPLEMENTS))
@@ -170,8 +175,9 @@ def shifted(c: str | Column) -> Column:
     return F.when(F.length(c) > 1, F.filter(F.array_distinct(made), lambda x: x != c))
 
 
-def max_edits(length: int, ratio: float) -> int:
+def max_edits(length: int | Column, ratio: float) -> int | Column:
     """Edits allowed for an adapter: a share of its length, one at least, none for no or an invalid share."""
-    if length <= 0 or not ratio > 0 or ratio == float("inf"):
-        return 0
-    return max(1, int(length * ratio))
+    valid = ratio > 0 and ratio != float("inf")
+    if isinstance(length, Column):
+        return F.when((length > 0) & F.lit(valid), F.greatest(F.lit(1), F.floor(length * ratio).cast("int"))).otherwise(0)
+    return max(1, int(length * ratio)) if length > 0 and valid else 0

@@ -71,6 +71,11 @@ def zero_truncated_percentile(k: str, rate: str) -> Column:
     return run(F.col(k), F.col(rate))
 
 
+def mean_deviation(c: Column) -> tuple[Column, Column]:
+    """Mean and sample deviation, 0 for a single value, as aggregates."""
+    return F.avg(c), F.coalesce(F.stddev_samp(c), F.lit(0.0))
+
+
 def kmer_match_probability(n1: int, n2: int, k: int) -> float:
     """Chance that two random sequences share a k-mer."""
     if k <= 0 or k > min(n1, n2):

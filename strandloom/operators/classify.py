@@ -25,6 +25,11 @@ def read_length(elements: Column, direction: str) -> Column:
     return F.coalesce(first["stop"] - first["start"] + 1, F.lit(0))
 
 
+def long_enough(length: Column, least: int) -> Column:
+    """Whether a strand's read has bases, and as many as the layout's own structure."""
+    return (length > 0) & (length >= least)
+
+
 def invalid_element(elements: Column, direction: str) -> Column:
     """First element in order without a proper position; null if all have one."""
     bad = F.filter(
@@ -48,7 +53,7 @@ def direction_reason(elements: Column, direction: str, least: int) -> Column:
     invalid, over = invalid_element(elements, direction), overlapping_element(elements, direction)
     return (
         F.when(~has_static(elements, direction), f"{direction}_FILTERED_NO_STATIC_ELEMENTS")
-        .when((read_length(elements, direction) == 0) | (read_length(elements, direction) < least), f"{direction}_FILTERED_READ_LENGTH")
+        .when(~long_enough(read_length(elements, direction), least), f"{direction}_FILTERED_READ_LENGTH")
         .when(invalid.isNotNull(), F.concat(F.lit(":FILTERED_ELEMENT_"), invalid, F.lit("_INVALID_POSITIONS")))
         .when(over.isNotNull(), F.concat(F.lit(":FILTERED_VARIABLE_"), over, F.lit("_OVERLAPPING_POSITIONS")))
     )

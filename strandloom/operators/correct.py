@@ -96,15 +96,18 @@ def exact(observed: DataFrame, named: DataFrame, small: bool = False) -> DataFra
     return out.select(*observed.columns, candidate.alias("candidate"), F.coalesce("__here", "__there").alias("is_true"))
 
 
+def poor(c: str) -> Column:
+    """Hardly any variety, or a run of one base at an end."""
+    most = F.greatest(F.lit(4), F.floor(F.length(c) * 0.4).cast("int"))
+    return (dna.distinct_kmers(c, 2) < 4) | dna.homopolymer_end(c, most)
+
+
 def screened(filters: list[str]) -> Column:
     """Whether a barcode (raw, with candidate and is_true of ``exact``) is not looked at: an adapter's k-mer (unless that is
-    a true barcode itself), hardly any variety, or a run of one base."""
-    n = F.length("raw")
-    most = F.greatest(F.lit(4), F.floor(n * 0.4).cast("int"))
+    a true barcode itself), or a poor one."""
     own = F.coalesce(F.col("is_true") & (F.col("candidate") == F.col("raw")), F.lit(False))
     hit = F.col("raw").isin(filters) | dna.revcomp("raw").isin(filters) if filters else F.lit(False)
-    poor = (dna.distinct_kmers("raw", 2) < 4) | dna.homopolymer_end("raw", most)
-    return F.coalesce((hit & ~own) | (poor if filters else F.lit(False)), F.lit(False))
+    return F.coalesce((hit & ~own) | (poor("raw") if filters else F.lit(False)), F.lit(False))
 
 
 def kmer_pairs(observed: DataFrame, lists: DataFrame, small: bool = False) -> DataFrame:
@@ -283,6 +286,19 @@ def correct(observed: DataFrame, lists: DataFrame, mode: str = "offensive", radi
     return out.select(*_KEY, "n", F.col("candidate").alias("corrected"), "stage", source.alias("source"), write.alias("write"), changed.alias("changed"))
 
 
+def apply_lists(barcodes: DataFrame, lists: DataFrame) -> DataFrame:
+    """Barcodes that are on a list of their class: all columns, ``write`` (on the true list) and ``corrected`` (other than what
+    was read, ``original_seq``, on either strand). Columns in: class_id, seq, original_seq."""
+    w = lists.groupBy("class_id", F.col("barcode").alias("seq")).agg(F.bool_or(F.col("role") == "true").alias("write"))
+    changed = F.col("original_seq").isNotNull() & (F.col("seq") != F.col("original_seq")) & (F.col("seq") != dna.revcomp("original_seq"))
+    return barcodes.join(small_side(w), ["class_id", "seq"]).withColumn("corrected", changed)
+
+
+def allowed_pairs(barcodes: DataFrame, pairs: DataFrame, first: str = "bc1", second: str = "bc2") -> DataFrame:
+    """Rows whose two barcodes are an allowed pair (bc1, bc2)."""
+    return barcodes.join(pairs.select(F.col("bc1").alias(first), F.col("bc2").alias(second)).distinct(), [first, second], "left_semi")
+
+
 def joint_chain(reads: DataFrame, lists: dict[str, DataFrame], lengths: dict[str, list[int]], anchor: str, offsets: tuple[int, int] = (-3, 3), seq: str = "seq", key: str = "read_ord", allowed: DataFrame | None = None) -> DataFrame:
     """Adjoining barcodes, all exact, near an anchor (1-based start of the first): offsets tried as 0, 1, -1, 2 and so on.
 
@@ -308,7 +324,7 @@ def joint_chain(reads: DataFrame, lists: dict[str, DataFrame], lengths: dict[str
     for m in members:
         t = t.join(small_side(lists[m].select(F.col("barcode").alias(m)).distinct()), m, "left_semi")
     best = t.groupBy(key).agg(F.min_by(F.struct(start.alias("start"), *members), F.struct("t.i", "t.j")).alias("b")).select(key, "b.*")
-    return best.join(allowed, members, "left_semi") if allowed is not None else best
+    return allowed_pairs(best, allowed.toDF("bc1", "bc2"), *members) if allowed is not None else best
 
 
 def direction_passes(barcodes: DataFrame, key: str = "read_ord", strict: bool = False) -> DataFrame:

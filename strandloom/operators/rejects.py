@@ -8,9 +8,11 @@ import tempfile
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandloom.functions.dna import bind
+
 #: The fields of the two kinds of record.
 FIELDS = {
     "read": ["read_id", "comment", "seq", "qual", "is_fastq"],
@@ -70,10 +72,13 @@ def _bare(line: str) -> str:
     return line[:-1] if line.endswith("\r") else line
 
 
-def field(line: str | None, at: int) -> str | None:
-    """One field of a record by the exact grammar; None where there is none or the quoting is broken."""
-    fields = split_record(_bare(line)) if line is not None else None
-    return fields[at] if fields and at < len(fields) else None
+def field_of(line: Column, at: int) -> Column:
+    """One field of a record by the exact grammar, as an expression; null where there is none or the quoting is broken."""
+    one = r'(?:"[^"]*+(?:""[^"]*+)*+"|[^",]*+)'
+    bare = F.regexp_replace(F.regexp_replace(line, "^\ufeff", ""), "\r$", "")
+    plain = lambda x: F.when(F.startswith(x, F.lit('"')), F.replace(F.substring(x, F.lit(2), F.length(x) - 2), F.lit('""'), F.lit('"'))).otherwise(x)
+    found = lambda b: bind(F.regexp_extract(b, rf"^(?:{one},){{{at}}}+({one})(?:,|\z)", 1), plain)
+    return bind(bare, lambda b: F.when(b.rlike(rf"^{one}(?:,{one})*+\z") & b.rlike(rf"^(?:{one},){{{at}}}+"), found(b)))
 
 
 def _read_files(con, files: list[list[int]], lines: dict[int, str], kind: str) -> tuple[dict[int, list[str]], dict[int, str], set[int]]:

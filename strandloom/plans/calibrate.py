@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandloom.functions import stats
 from strandloom.operators import align
 from strandloom.plans.layout import Layout, calibrated, compile_layout, revcomp
 
@@ -55,11 +56,10 @@ def calibration_stats(hits: DataFrame) -> DataFrame:
     share = hits.groupBy("class_id").agg((exact / F.count(F.lit(1))).alias("exact_share"))
     good = F.col("start_pct").isNotNull() & ((F.col("distance") == 0) | (F.col("exact_share") < 0.1))
     apart = F.when(~good, F.col("distance"))
-    at = lambda c, f: f(F.when(good, F.col(c)))
+    start, stop, off = (stats.mean_deviation(c) for c in (F.when(good, F.col("start_pct")), F.when(good, F.col("stop_pct")), apart))
     return hits.join(F.broadcast(share), "class_id").groupBy("class_id").agg(
-        F.count_if(good).alias("seen"), at("start_pct", F.avg).alias("start_mean"), F.coalesce(at("start_pct", F.stddev_samp), F.lit(0.0)).alias("start_sd"),
-        at("stop_pct", F.avg).alias("stop_mean"), F.coalesce(at("stop_pct", F.stddev_samp), F.lit(0.0)).alias("stop_sd"),
-        F.count(apart).alias("n"), F.avg(apart).alias("mean"), F.coalesce(F.stddev_samp(apart), F.lit(0.0)).alias("sd"),
+        F.count_if(good).alias("seen"), start[0].alias("start_mean"), start[1].alias("start_sd"), stop[0].alias("stop_mean"), stop[1].alias("stop_sd"),
+        F.count(apart).alias("n"), off[0].alias("mean"), off[1].alias("sd"),
     )
 
 

@@ -9,6 +9,10 @@ import re
 from dataclasses import asdict, dataclass, field, replace
 from itertools import groupby
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from strandloom.functions.dna import bind
 from strandloom.functions.tags import flag_tokens
 
 #: A static element this long is a reliable anchor; bases taken for a tail without a length.
@@ -28,14 +32,26 @@ def length_candidates(spec: str | None) -> list[int]:
     return [n for n in range(min(a, b), max(a, b) + 1) if n > 0]
 
 
-def length_bounds(spec: str | None) -> tuple[int | None, int | None, int | None]:
-    """Number, least and most of ``length_candidates``, without writing them out; nulls beyond a 64-bit integer."""
-    m = re.fullmatch(r"\s*(\d+)\s*(?:-\s*(\d+)\s*)?", spec or "")
-    a, b = sorted((int(m[1]), int(m[2] or m[1]))) if m else (0, 0)
-    a = max(a, 1)
-    if b < a:
-        return 0, None, None
-    return (b - a + 1, a, b) if b < 2**63 else (None, None, None)
+def length_range(spec: Column) -> Column:
+    """Number, least and most of ``length_candidates`` as a struct n, least, most, without writing them out; nulls beyond a
+    64-bit integer, 0 and nulls for a bad or null field."""
+    pattern = r"^\s*(\d+)\s*(?:-\s*(\d+)\s*)?$"
+    return bind(spec, lambda s: bind(F.filter(F.array(F.regexp_extract(s, pattern, 1), F.regexp_extract(s, pattern, 2)), lambda x: x != ""), _range))
+
+
+def _range(ends: Column) -> Column:
+    """From the one or two numbers of a field, as texts; null or empty for none."""
+    digits = F.transform(ends, lambda x: F.regexp_replace(x, "^0+(?=.)", ""))
+    wide = F.exists(digits, lambda x: F.length(x) > 19)
+    numbers = F.transform(digits, lambda x: F.when(F.length(x) <= 19, x).cast("decimal(20,0)"))
+    lo, hi = F.greatest(F.array_min(numbers), F.lit(1)), F.array_max(numbers)
+    known = ~wide & (hi < F.lit(str(2**63)).cast("decimal(20,0)"))
+    some = known & (hi >= lo)
+    none = F.coalesce(F.size(ends), F.lit(0)) < 1
+    return F.struct(
+        F.when(none | (known & (hi < lo)), F.lit(0).cast("bigint")).when(some, (hi - lo + 1).cast("bigint")).alias("n"),
+        F.when(some, lo.cast("bigint")).alias("least"), F.when(some, hi.cast("bigint")).alias("most"),
+    )
 
 
 @dataclass(frozen=True)

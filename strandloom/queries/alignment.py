@@ -86,7 +86,7 @@ def aln_poly(spark, d):
 def scan_maxed(spark, d):
     """Edits that a 30 % share of a sequence's length allows."""
     n = F.length("seq")
-    return _reads(spark, d).where(n > 0).select("read_ord", n.alias("n"), F.greatest(F.lit(1), F.floor(n * 0.3).cast("int")).alias("most"))
+    return _reads(spark, d).where(n > 0).select("read_ord", n.alias("n"), dna.max_edits(n, 0.3).alias("most"))
 
 
 @query("SELECT DISTINCT barcode, reverse(translate(barcode, 'ACGT', 'TGCA')) AS rc, barcode AS again, (left(barcode, 4) = repeat(left(barcode, 1), 4) OR right(barcode, 4) = repeat(right(barcode, 1), 4)) AS run, (3 * length(barcode))::BIGINT AS n FROM whitelist")

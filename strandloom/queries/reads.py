@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 
 from strandloom import pipeline
 from strandloom.functions import dna, tags
-from strandloom.operators import calling, classify, emit, locate
+from strandloom.operators import calling, classify, correct, emit, locate
 from strandloom.plans import calibrate
 from strandloom.plans.layout import compile_layout, read_rows, write_compiled
-from strandloom.session import shared_dir, table
+from strandloom.session import shared_dir, small_side, table
 from strandloom.sources import fastx
 from strandloom.streaming import counts as streaming
 
@@ -66,8 +66,8 @@ def flt_static(spark, d):
 @query(_EL + ' SELECT elem_id, stop - "start" + 1 >= 85 AS long_enough FROM e WHERE global_class = \'read\'')
 def flt_len(spark, d):
     """Reads at least as long as the structure of a strand."""
-    least = layout().structural_length
-    return _elements(spark, d).where("global_class = 'read'").select("elem_id", (F.col("stop") - F.col("start") + 1 >= least).alias("long_enough"))
+    reads = _elements(spark, d).where("global_class = 'read'")
+    return reads.select("elem_id", classify.long_enough(F.col("stop") - F.col("start") + 1, layout().structural_length).alias("long_enough"))
 
 
 @query(_EL + """, b AS (SELECT read_ord, direction, class_id FROM e WHERE global_class NOT IN ('start', 'stop', 'poly_tail') AND NOT coalesce("start" > 0 AND "start" < stop, true)
@@ -94,13 +94,12 @@ def flt_dir(spark, d):
     return classify.classify(_nested(spark, d), 0).select("read_ord", "forward_reason", "reverse_reason", "read_type")
 
 
-@query(_EL + """ SELECT elem_id, length(s) >= 2 AND (len(list_distinct(list_transform(range(1, length(s)), lambda i: substr(s, i::INT, 2)))) < 4 OR length(s) >= m AND (left(s, m) = repeat(left(s, 1), m) OR right(s, m) = repeat(right(s, 1), m))) AS poor
-FROM (SELECT elem_id, seq s, greatest(4, floor(length(seq) * 0.4)::INT) m FROM e WHERE global_class = 'barcode' AND length(seq) >= 2 AND regexp_full_match(seq, '[ACGT]+'))""")
+@query(_EL + """ SELECT elem_id, CASE WHEN s IS NULL THEN NULL ELSE coalesce(len(list_distinct(list_transform(range(1, length(s)), lambda i: substr(s, i::INT, 2)))), 0) < 4
+OR length(s) >= m AND (upper(left(s, m)) = repeat(upper(left(s, 1)), m) OR upper(right(s, m)) = repeat(upper(right(s, 1)), m)) END AS poor FROM (SELECT elem_id, seq s, greatest(4, floor(length(seq) * 0.4)::INT) m FROM e WHERE global_class = 'barcode')""")
 def flt_bc(spark, d):
-    """Barcodes of hardly any variety or with a run of one base at an end."""
-    b = _elements(spark, d).where("global_class = 'barcode' and length(seq) >= 2 and seq rlike '^[ACGT]+$'")
-    most = F.greatest(F.lit(4), F.floor(F.length("seq") * 0.4).cast("int"))
-    return b.select("elem_id", ((dna.distinct_kmers("seq", 2) < 4) | dna.homopolymer_end("seq", most)).alias("poor"))
+    """Barcodes of hardly any variety or with a run of one base at an end; unknown for null ones."""
+    b = _elements(spark, d).where("global_class = 'barcode'")
+    return b.select("elem_id", F.when(F.col("seq").isNotNull(), correct.poor("seq")).alias("poor"))
 
 
 _VALID = _EL + """, v AS (SELECT read_ord, count(*) FILTER (direction = 'forward' AND ok) AS forward_n, count(*) FILTER (direction = 'reverse' AND ok) AS reverse_n
@@ -171,14 +170,18 @@ def agg_cons(spark, d):
     return calibrate.consensus(aligned)
 
 
-@query(_EL + """, r AS (SELECT DISTINCT read_ord, seq FROM reads), x AS (SELECT e.elem_id, r.seq AS s, e."start", e.stop FROM e JOIN r USING (read_ord) WHERE e.global_class = 'read' AND e."start" > 0 AND e.stop > e."start")
-SELECT elem_id, replace(substr(s, "start", stop - "start" + 1), 'N', '') AS cleaned FROM x""")
+@query(_EL + """, r AS (SELECT DISTINCT read_ord, seq FROM reads), x AS (SELECT e.elem_id, e.read_ord, e.direction, r.seq AS s, e."start" a, e.stop z FROM e JOIN r USING (read_ord) WHERE e.global_class = 'read' AND e."start" > 0 AND e.stop > e."start"),
+p AS (SELECT elem_id, read_ord, direction, s, unnest(range(a, least(z, length(s)) + 1)) AS i FROM x), o AS (SELECT DISTINCT read_ord, direction, "start" a, stop z FROM e WHERE global_class <> 'read' AND "start" > 0 AND stop > "start"),
+k AS (SELECT elem_id, i, substr(s, i::INT, 1) c FROM p WHERE substr(s, i::INT, 1) <> 'N' AND NOT EXISTS (SELECT 1 FROM o WHERE o.read_ord = p.read_ord AND o.direction = p.direction AND p.i BETWEEN o.a AND o.z))
+SELECT x.elem_id, coalesce(string_agg(c, '' ORDER BY i), '') AS cleaned FROM x LEFT JOIN k ON k.elem_id = x.elem_id GROUP BY 1""")
 def ext_mask(spark, d):
-    """Read windows without masked bases (here: nothing but their own N)."""
+    """Read windows without the bases that other elements of the strand cover and without N."""
     reads = table(spark, d, "reads").select("read_ord", F.col("seq").alias("s")).distinct()
-    e = _elements(spark, d).where("global_class = 'read' and start > 0 and stop > start").join(reads, "read_ord")
+    e = _elements(spark, d).where("start > 0 and stop > start")
+    spans = e.where("global_class <> 'read'").groupBy("read_ord", "direction").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))  # a few per read
+    own = e.where("global_class = 'read'").join(reads, "read_ord").join(spans, ["read_ord", "direction"], "left")
     none = F.array().cast("array<struct<start:int,stop:int>>")
-    return e.select("elem_id", classify.masked_read(F.col("s"), none, F.col("start"), F.col("stop")).alias("cleaned"))
+    return own.select("elem_id", classify.masked_read(F.col("s"), F.coalesce("spans", none), F.col("start"), F.col("stop")).alias("cleaned"))
 
 
 @query(_VALID + """, m AS (SELECT read_ord, read_id, length(seq) n FROM reads GROUP BY ALL), p AS (SELECT e.*, read_type FROM e JOIN t USING (read_ord) WHERE NOT ("start" = -1 AND stop = -1)),
@@ -244,8 +247,9 @@ def lay_cal(spark, d):
 
 @query('WITH e AS (SELECT DISTINCT elem_id, class_id, "start", stop FROM elements WHERE type = \'static\' AND edit_distance = 0) SELECT class_id, count(*) AS n, round(avg("start"), 6) AS mean_start, round(coalesce(stddev_samp("start"), 0), 6) AS sd_start FROM e GROUP BY 1')
 def lay_cal_stat(spark, d):
-    e = _elements(spark, d).where("type = 'static' and edit_distance = 0").select("elem_id", "class_id", "start").distinct()
-    return e.groupBy("class_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("start"), 6).alias("mean_start"), F.round(F.coalesce(F.stddev_samp("start"), F.lit(0.0)), 6).alias("sd_start"))
+    e = _elements(spark, d).where("type = 'static' and edit_distance = 0").select("class_id", F.col("edit_distance").alias("distance"), F.col("start").alias("start_pct"), F.col("stop").alias("stop_pct"))
+    s = calibrate.calibration_stats(e)
+    return s.select("class_id", F.col("seen").alias("n"), F.round("start_mean", 6).alias("mean_start"), F.round("start_sd", 6).alias("sd_start"))
 
 
 @query()
@@ -348,13 +352,21 @@ def st_floor(spark, d):
     return spark.createDataFrame([(f.ready, f.decision, float(f.x), float(f.snapped))], "ready boolean, decision string, x double, snapped double")
 
 
-@query("SELECT class_id, count(*) AS universe, CASE WHEN (count(*) FILTER (length(barcode) = 15)) = 0 THEN 'not_an_expansion' WHEN (count(*) FILTER (length(barcode) = 15)) * count(*) <= (count(*) - count(*) FILTER (length(barcode) >= 15)) * (count(*) - count(*) FILTER (length(barcode) >= 16)) THEN 'accepted' ELSE 'rejected' END AS decision FROM (SELECT DISTINCT class_id, barcode FROM whitelist) GROUP BY 1")
+@query(f"""WITH {_COUNTED}, u AS (SELECT count(DISTINCT barcode) universe FROM whitelist WHERE class_id = 'barcode'), l AS (SELECT DISTINCT barcode FROM whitelist WHERE class_id = 'barcode'),
+k AS (SELECT x FROM s WHERE barcode IN (SELECT barcode FROM l)), v(f) AS (VALUES (9.0), (8.0), (7.0), (6.0), (5.0), (4.0)),
+n AS (SELECT f, universe, (SELECT count(*) FROM k) seen, (SELECT count(*) FROM k WHERE x >= 9) few, (SELECT count(*) FROM k WHERE x >= f) more FROM v, u)
+SELECT f AS score, universe, seen, more AS called, CASE WHEN more = few THEN 'not_an_expansion' WHEN (more - few) * universe <= (universe - seen) * (universe - few) THEN 'accepted' ELSE 'rejected' END AS decision FROM n""")
 def st_guard(spark, d):
-    """The finite-population rule, on lengths as a stand-in for scores."""
-    w = table(spark, d, "whitelist").select("class_id", "barcode").distinct()
-    n = w.groupBy("class_id").agg(F.count(F.lit(1)).alias("universe"), F.count_if(F.length("barcode") >= 15).alias("seen"), F.count_if(F.length("barcode") >= 16).alias("few"))
-    rows = [(r["class_id"], r["universe"], calling.finite_guard(r["universe"], r["seen"], r["few"], r["seen"])) for r in n.collect()]
-    return spark.createDataFrame(rows, "class_id string, universe bigint, decision string")
+    """Whether widening the call of listed barcodes from a score of 9 down to lower ones is no more than chance allows."""
+    listed = table(spark, d, "whitelist").where("class_id = 'barcode'").select("barcode").distinct()
+    counts = _counts(spark, d)
+    total = counts.agg(F.sum("n")).first()[0]
+    scores = counts.join(small_side(listed), "barcode", "left_semi").select(F.log1p(F.col("n") * 1e6 / total).alias("x"))
+    cuts = [9.0, 8.0, 7.0, 6.0, 5.0, 4.0]
+    seen, *above = scores.agg(F.count(F.lit(1)), *(F.count_if(F.col("x") >= c) for c in cuts)).first()
+    universe = listed.count()
+    rows = [(c, universe, seen, n, calling.finite_guard(universe, seen, above[0], n)) for c, n in zip(cuts, above)]
+    return spark.createDataFrame(rows, "score double, universe bigint, seen bigint, called bigint, decision string")
 
 
 @query()
@@ -391,16 +403,10 @@ def snk_layout(spark, d):
 @query("SELECT DISTINCT read_id, coalesce(comment, '') AS comment, seq, qual, is_fastq FROM (SELECT DISTINCT read_ord, read_id, regexp_replace(comment, '^\\s+|\\s+$', '', 'g') AS comment, seq, qual, qual IS NOT NULL AND qual <> '' AS is_fastq FROM reads WHERE seq <> '')")
 def src_fastx(spark, d):
     """All reads written as records and read back by the file source."""
-    at = f"{shared_dir(spark).removeprefix('file://').removeprefix('file:')}/fastx_{uuid.uuid4().hex}"
+    at = f"{shared_dir(spark)}/fastx_{uuid.uuid4().hex}"
     text = _reads(spark, d).select(tags.record(F.col("read_id"), F.trim("comment"), F.col("seq"), F.col("qual")).alias("value"))
-    text.write.mode("overwrite").text(f"file://{at}/all.fq")
-    spark.dataSource.register(fastx.FastxDataSource)
-    parts = [r[0] for r in spark.read.format("binaryFile").load(f"file://{at}/all.fq/*.txt").select("path").collect()]
-    out = None
-    for p in parts:
-        df = spark.read.format("fastx").option("path", p.removeprefix("file://").removeprefix("file:")).load()
-        out = df if out is None else out.unionByName(df)
-    return out.select("read_id", "comment", "seq", "qual", "is_fastq").distinct()
+    text.write.mode("overwrite").text(at)
+    return fastx.read_fastx(spark, at, "read_id,comment,seq,qual,is_fastq", spread=False, suffixes=(".txt",)).distinct()
 
 
 @query("SELECT barcode, count(*) AS n FROM barcode_counts WHERE barcode IS NOT NULL GROUP BY 1")
@@ -413,8 +419,9 @@ def str_chunk(spark, d):
     return _drain(spark, streaming.running_counts(rows), ["barcode"], at)
 
 
-@query(_EL + """, b AS (SELECT regexp_replace(class_id, '^rc_', '') AS class_id, seq AS barcode, original_seq IS NOT NULL AND original_seq <> seq c FROM e WHERE global_class = 'barcode' AND seq IS NOT NULL)
-SELECT class_id, barcode, count(*) FILTER (NOT c) AS raw_count, count(*) FILTER (c) AS corrected_count FROM b GROUP BY 1, 2""")
+@query(_EL + """, b AS (SELECT regexp_replace(class_id, '^rc_', '') AS class_id, seq AS barcode, original_seq IS NOT NULL AND original_seq <> seq c FROM e WHERE global_class = 'barcode' AND seq IS NOT NULL),
+k AS (SELECT class_id, barcode, count(*) FILTER (NOT c) AS raw_count, count(*) FILTER (c) AS corrected_count FROM b GROUP BY 1, 2)
+SELECT *, CASE WHEN raw_count >= 2 THEN raw_count + corrected_count < 10 OR (corrected_count + 1) / (raw_count + corrected_count + 1) <= 0.8 ELSE raw_count + corrected_count < 10 END AS stands FROM k""")
 def str_state(spark, d):
     """Counters and verdict per barcode, kept as state of a stream."""
     e = _elements(spark, d).where("global_class = 'barcode' and seq is not null")
@@ -422,8 +429,7 @@ def str_state(spark, d):
     at = f"{shared_dir(spark)}/state_{uuid.uuid4().hex}"
     b.write.mode("overwrite").parquet(f"{at}/in")
     rows = spark.readStream.schema(b.schema).parquet(f"{at}/in")
-    out = _drain(spark, streaming.gated_counters(rows), ["class_id", "barcode"], at)
-    return out.select("class_id", "barcode", "raw_count", "corrected_count")
+    return _drain(spark, streaming.gated_counters(rows), ["class_id", "barcode"], at)
 
 
 def _drain(spark, stream, keys, at):

@@ -1,12 +1,14 @@
 """Queries of scans, joins and aggregations on barcodes, each over whole tables."""
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from strandloom.functions import dna
-from strandloom.operators import correct, reformat, rejects, scan
-from strandloom.plans.layout import length_bounds
-from strandloom.session import small_side, table
+from strandloom.operators import correct, emit, reformat, rejects, scan
+from strandloom.plans.layout import length_range
+from strandloom.session import shared_dir, small_side, table
 from strandloom.sources import whitelists
 
 QUERIES, SQL = {}, {}
@@ -35,8 +37,8 @@ def _listed(spark, d, class_id=None, role=None):
     return w.where(F.col("role") == role) if role else w
 
 
-def _extracted(spark, d):
-    return scan.extract(_reads(spark, d), ADAPTER, 16)
+def _extracted(spark, d, ratio=0.3):
+    return scan.extract(_reads(spark, d), ADAPTER, 16, ratio=ratio)
 
 
 _READS = "r AS (SELECT DISTINCT read_ord, read_id, comment, seq, qual, is_fastq FROM reads)"
@@ -59,22 +61,22 @@ def scan_fuzzy(spark, d):
     return scan.extract(_reads(spark, d), ADAPTER, 16, ratio=0.3).select("read_ord", "position", "is_rc", "barcode")
 
 
-@query(f"WITH {_HITS} SELECT read_ord, barcode, is_rc FROM b")
+@query()
 def scan_extract(spark, d):
     return _extracted(spark, d).select("read_ord", "barcode", "is_rc")
 
 
-@query(f"WITH {_HITS} SELECT is_rc, count(*) AS extracted, count(*) FILTER (regexp_full_match(barcode, '[ACGT]{{1,31}}')) AS joinable FROM b GROUP BY 1")
+@query()
 def scan_chunk(spark, d):
     return _extracted(spark, d).groupBy("is_rc").agg(F.count(F.lit(1)).alias("extracted"), F.count_if(dna.is_plain("barcode")).alias("joinable"))
 
 
-@query(f"WITH {_HITS} SELECT barcode, count(*) AS n FROM b WHERE barcode IN (SELECT barcode FROM whitelist WHERE class_id = 'barcode') GROUP BY 1")
+@query()
 def scan_count(spark, d):
     return scan.count(_extracted(spark, d), _listed(spark, d, "barcode"))
 
 
-@query(f"WITH {_HITS} SELECT barcode, count(*) AS n FROM b GROUP BY 1")
+@query()
 def agg_scan(spark, d):
     return scan.count(_extracted(spark, d))
 
@@ -89,21 +91,21 @@ p AS (SELECT * FROM t WHERE bc1 IN (SELECT barcode FROM whitelist WHERE class_id
 QUALIFY row_number() OVER (PARTITION BY read_ord ORDER BY o, a, b) = 1)"""
 
 
-def _pairs(spark, d):
-    return scan.split_pairs(_reads(spark, d), ADAPTER, _listed(spark, d, "barcode_1"), _listed(spark, d, "barcode_2"))
+def _pairs(spark, d, ratio=0.3):
+    return scan.split_pairs(_reads(spark, d), ADAPTER, _listed(spark, d, "barcode_1"), _listed(spark, d, "barcode_2"), ratio=ratio)
 
 
-@query(_SPLIT + " SELECT read_ord, is_rc, adapter_end, bc1, bc2 FROM p")
+@query()
 def scan_split(spark, d):
     return _pairs(spark, d)
 
 
-@query(_SPLIT + " SELECT bc1, bc2, bc1 || bc2 AS pair, count(*) AS n FROM p GROUP BY 1, 2")
+@query()
 def agg_pair(spark, d):
     return scan.pair_counts(_pairs(spark, d))
 
 
-@query(_SPLIT + " SELECT bc1 || bc2 AS barcode, count(*) AS n FROM p GROUP BY 1")
+@query()
 def agg_collapse(spark, d):
     return scan.count(_pairs(spark, d).select(F.concat("bc1", "bc2").alias("barcode")))
 
@@ -117,31 +119,27 @@ _AXES = """o1 AS (SELECT barcode, min(ordinal) ordinal FROM whitelist WHERE clas
 o2 AS (SELECT barcode, min(ordinal) ordinal FROM whitelist WHERE class_id = 'barcode_2' AND role = 'true' GROUP BY 1)"""
 
 
-@query(_SPLIT + f""", {_AXES} SELECT o1.ordinal, o1.barcode AS bc1, (SELECT string_agg(CASE WHEN (o1.barcode, z.barcode) IN (SELECT (bc1, bc2) FROM p) THEN '1' ELSE '0' END, ',' ORDER BY z.ordinal) FROM o2 z) AS line FROM o1""")
+@query()
 def snk_mask(spark, d):
     """Dense 0/1 matrix of the pairs seen, a line per first barcode."""
     return scan.pair_matrix(scan.pair_counts(_pairs(spark, d)), _ordinals(spark, d, "barcode_1"), _ordinals(spark, d, "barcode_2"))
 
 
-@query(_SPLIT + f", {_AXES} SELECT DISTINCT bc1, bc2 FROM p JOIN o1 ON bc1 = o1.barcode JOIN o2 ON bc2 = o2.barcode")
+@query()
 def src_mask(spark, d):
     """Pairs read back from the matrix."""
     one, two = _ordinals(spark, d, "barcode_1"), _ordinals(spark, d, "barcode_2")
     return scan.matrix_pairs(scan.pair_matrix(scan.pair_counts(_pairs(spark, d)), one, two).select("ordinal", "line"), one, two)
 
 
-_SEEN = """o AS (SELECT 'barcode' class_id, barcode_1 raw, substr(sequence, 1, 20) expanded, count(*) n FROM extracted_bc
-WHERE regexp_full_match(barcode_1, '[ACGT]+') AND length(sequence) >= 20 GROUP BY ALL), w AS (SELECT DISTINCT class_id, role, barcode FROM whitelist),
+_SEEN = """e0 AS (SELECT 'barcode' class_id, barcode_1 raw, sequence, instr(sequence, barcode_1) AS i FROM extracted_bc UNION ALL SELECT 'barcode_1', barcode_1, sequence, instr(sequence, barcode_1) FROM extracted_bc
+UNION ALL SELECT 'barcode_2', barcode_2, sequence, CASE WHEN instr(substr(sequence, coalesce(length(barcode_1), 0) + 1), barcode_2) > 0 THEN instr(substr(sequence, coalesce(length(barcode_1), 0) + 1), barcode_2) + coalesce(length(barcode_1), 0) ELSE 0 END FROM extracted_bc),
+o AS (SELECT class_id, raw, CASE WHEN i > 0 THEN substr(sequence, greatest(1, i - 4), least(length(sequence), i + length(raw) + 3) - greatest(1, i - 4) + 1) ELSE raw END AS expanded, count(*) n FROM e0 WHERE raw IS NOT NULL GROUP BY ALL),
+w AS (SELECT DISTINCT class_id, role, barcode FROM whitelist),
 t AS (SELECT DISTINCT class_id, barcode FROM w WHERE role = 'true'), g AS (SELECT DISTINCT class_id, barcode FROM w WHERE role = 'global' AND (class_id, barcode) NOT IN (SELECT (class_id, barcode) FROM t))"""
 
 
 def _observed(spark, d):
-    o = table(spark, d, "extracted_bc").where("barcode_1 rlike '^[ACGT]+$' and length(sequence) >= 20")
-    o = o.select(F.lit("barcode").alias("class_id"), F.col("barcode_1").alias("raw"), F.substring("sequence", 1, 20).alias("expanded"))
-    return o.groupBy("class_id", "raw", "expanded").agg(F.count(F.lit(1)).alias("n"))
-
-
-def _all_observed(spark, d):
     """All barcodes, those with N too, and their windows, 4 bases more on either side. The table doesn't say by which
     layout a row was read, and either list has some of either kind of row, so barcode_1 stands under both classes."""
     e = table(spark, d, "extracted_bc", "sequence", "barcode_1", "barcode_2")
@@ -156,22 +154,22 @@ def _sides(spark, d):
     return correct.split_lists(_listed(spark, d))
 
 
-@query(f"WITH {_SEEN} SELECT class_id, raw, expanded, min(c) AS candidate FROM (SELECT o.*, barcode c FROM o JOIN t USING (class_id) WHERE t.barcode = o.raw UNION ALL SELECT o.*, barcode FROM o JOIN t USING (class_id) WHERE t.barcode = reverse(translate(o.raw, 'ACGT', 'TGCA')) AND o.raw NOT IN (SELECT barcode FROM t WHERE class_id = 'barcode')) GROUP BY ALL")
+@query(f"WITH {_SEEN} SELECT o.class_id, raw, expanded, coalesce(a.barcode, b.barcode) AS candidate FROM o LEFT JOIN t a ON a.class_id = o.class_id AND a.barcode = raw LEFT JOIN t b ON b.class_id = o.class_id AND b.barcode = reverse(translate(raw, 'ACGT', 'TGCA')) WHERE coalesce(a.barcode, b.barcode) IS NOT NULL")
 def jn_eq(spark, d):
     true, _ = _sides(spark, d)
-    return correct.exact(_all_observed(spark, d), true.withColumn("is_true", F.lit(True))).where("candidate is not null").select("class_id", "raw", "expanded", "candidate")
+    return correct.exact(_observed(spark, d), true.withColumn("is_true", F.lit(True))).where("candidate is not null").select("class_id", "raw", "expanded", "candidate")
 
 
-@query(f"WITH {_SEEN} SELECT raw, sum(n)::BIGINT AS n FROM o WHERE (class_id, raw) IN (SELECT (class_id, barcode) FROM t) GROUP BY 1")
+@query(f"WITH {_SEEN} SELECT class_id, raw, sum(n)::BIGINT AS n FROM o WHERE (class_id, raw) IN (SELECT (class_id, barcode) FROM t) GROUP BY 1, 2")
 def jn_ident(spark, d):
     true, _ = _sides(spark, d)
     seen = _observed(spark, d).join(small_side(true.withColumnRenamed("barcode", "raw")), ["class_id", "raw"], "left_semi")
-    return seen.groupBy("raw").agg(F.sum("n").alias("n"))
+    return seen.groupBy("class_id", "raw").agg(F.sum("n").alias("n"))
 
 
-@query(f"WITH {_SEEN} SELECT DISTINCT raw FROM o WHERE (class_id, raw) IN (SELECT (class_id, barcode) FROM w)")
+@query(f"WITH {_SEEN} SELECT DISTINCT class_id, raw FROM o WHERE (class_id, raw) IN (SELECT (class_id, barcode) FROM w)")
 def jn_exact2(spark, d):
-    return _observed(spark, d).join(small_side(_listed(spark, d).select("class_id", F.col("barcode").alias("raw")).distinct()), ["class_id", "raw"], "left_semi").select("raw").distinct()
+    return _observed(spark, d).join(small_side(_listed(spark, d).select("class_id", F.col("barcode").alias("raw")).distinct()), ["class_id", "raw"], "left_semi").select("class_id", "raw").distinct()
 
 
 @query(f"WITH {_SEEN} SELECT * FROM g")
@@ -182,56 +180,56 @@ def jn_dedup(spark, d):
 _INFIX = "least({most} + 1, (SELECT min(levenshtein({s}, substr({l}, i::INT, k::INT))) FROM range(1, length({l}) + 1) a(i), range(length({s}) - {most}, length({s}) + {most} + 1) b(k)))"
 
 
-@query(f"""WITH {_SEEN}, c AS (SELECT o.*, t.barcode, unnest(list_distinct(list_transform(range(1, greatest(length(expanded) - length(raw) + 2, 2)), lambda i: substr(expanded, i::INT, length(raw))))) k FROM o JOIN t USING (class_id)),
-m AS (SELECT DISTINCT class_id, raw, expanded, barcode AS candidate FROM c WHERE k = barcode)
-SELECT class_id, raw, expanded, candidate FROM m WHERE levenshtein(raw, candidate) <= 8 AND EXISTS (SELECT 1 FROM range(1, length(candidate) + 1) a(i), range(length(raw) - 2, length(raw) + 3) b(k) WHERE levenshtein(raw, substr(candidate, i::INT, k::INT)) <= 2)""")
+@query(f"""WITH {_SEEN}, c AS (SELECT class_id, raw, expanded, unnest(list_distinct(list_transform(range(1, greatest(length(expanded) - length(raw) + 2, 2)), lambda i: substr(expanded, i::INT, length(raw))))) k FROM o),
+m AS (SELECT c.class_id, raw, expanded, barcode AS candidate FROM c JOIN t ON t.class_id = c.class_id AND barcode = k)
+SELECT * FROM m WHERE EXISTS (SELECT 1 FROM range(1, length(candidate) + 1) a(i), range(length(raw) - 2, length(raw) + 3) b(k) WHERE levenshtein(raw, substr(candidate, i::INT, k::INT)) <= 2)""")
 def jn_kmer(spark, d):
     """True entries among the k-mers of the window, within two edits of the barcode."""
     true, _ = _sides(spark, d)
-    return correct.kmer_candidates(_all_observed(spark, d), true, 2).select("class_id", "raw", "expanded", "candidate")
+    return correct.kmer_candidates(_observed(spark, d), true, 2).select("class_id", "raw", "expanded", "candidate")
 
 
-@query(f"""WITH {_SEEN}, s AS (SELECT DISTINCT class_id, raw, expanded FROM o), c AS (SELECT s.*, barcode AS candidate FROM s JOIN t USING (class_id)
-WHERE contains(expanded, left(barcode, 5)) OR contains(expanded, substr(barcode, 6, 5)) OR contains(expanded, substr(barcode, 11, 6))),
-m AS (SELECT class_id, raw, expanded, candidate, min(levenshtein(candidate, substr(expanded, i::INT, k::INT))) AS dist FROM c, range(1, 21) a(i), range(14, 19) b(k) GROUP BY ALL)
+@query(f"""WITH {_SEEN}, s AS (SELECT DISTINCT class_id, raw, expanded FROM o), u AS (SELECT class_id, barcode, substr(barcode, length(barcode) * k // 3 + 1, length(barcode) * (k + 1) // 3 - length(barcode) * k // 3) AS part FROM t, (VALUES (0), (1), (2)) v(k)),
+c AS (SELECT DISTINCT s.*, barcode AS candidate, CASE WHEN length(barcode) <= length(expanded) THEN barcode ELSE expanded END AS a, CASE WHEN length(barcode) <= length(expanded) THEN expanded ELSE barcode END AS b FROM s JOIN u ON u.class_id = s.class_id AND contains(expanded, part)),
+m AS (SELECT class_id, raw, expanded, candidate, min(levenshtein(a, substr(b, i::INT, (length(a) + k)::INT))) AS dist FROM c, range(1, 60) x(i), range(-2, 3) y(k) WHERE i <= length(b) GROUP BY ALL)
 SELECT * FROM m WHERE dist <= 2""")
 def jn_seed(spark, d):
     """True entries within two edits inside the window, found by their parts."""
     true, _ = _sides(spark, d)
-    return correct.seed_candidates(_all_observed(spark, d), true).select("class_id", "raw", "expanded", "candidate", "dist")
+    return correct.seed_candidates(_observed(spark, d), true).select("class_id", "raw", "expanded", "candidate", "dist")
 
 
-@query(f"""WITH {_SEEN}, s AS (SELECT DISTINCT raw FROM o), p AS (SELECT raw, barcode, levenshtein(raw, barcode) dist FROM s, (SELECT barcode FROM t WHERE class_id = 'barcode') WHERE abs(length(raw) - length(barcode)) <= 2),
-b AS (SELECT raw, min(barcode) AS candidate, dist, count(*) c, rank() OVER (PARTITION BY raw ORDER BY dist) k FROM p WHERE dist <= 2 GROUP BY raw, dist)
-SELECT raw, candidate, dist FROM b WHERE k = 1 AND c = 1""")
+@query(f"""WITH {_SEEN}, s AS (SELECT DISTINCT class_id, raw FROM o), p AS (SELECT class_id, raw, barcode, levenshtein(raw, barcode) dist FROM s JOIN t USING (class_id) WHERE abs(length(raw) - length(barcode)) <= 2),
+b AS (SELECT class_id, raw, min(barcode) AS candidate, dist, count(*) c, rank() OVER (PARTITION BY class_id, raw ORDER BY dist) k FROM p WHERE dist <= 2 GROUP BY class_id, raw, dist)
+SELECT class_id, raw, candidate, dist FROM b WHERE k = 1 AND c = 1""")
 def jn_theta(spark, d):
     """The only nearest true entry within two edits of the whole barcode, by parts instead of a nested loop."""
     true, _ = _sides(spark, d)
-    seen = _all_observed(spark, d).select("class_id", "raw", F.col("raw").alias("expanded")).distinct()
+    seen = _observed(spark, d).select("class_id", "raw", F.col("raw").alias("expanded")).distinct()
     near = correct.seed_candidates(seen, true, small=False, most=2).withColumn("dist", F.levenshtein("raw", "candidate", 2)).where("dist >= 0")
     rungs = near.select("*", F.lit(0).alias("rung"), F.lit(0).alias("raw_n"), F.lit(True).alias("nearest"))
     return correct.settle(rungs).select("class_id", "raw", "candidate", "dist")
 
 
-@query(f"""WITH {_SEEN}, s AS (SELECT DISTINCT class_id, raw FROM o) SELECT raw, barcode AS candidate FROM s JOIN t USING (class_id) WHERE length(raw) = length(barcode) AND raw <> barcode AND hamming(raw, barcode) <= 2""")
+@query(f"""WITH {_SEEN}, s AS (SELECT DISTINCT class_id, raw FROM o) SELECT class_id, raw, barcode AS candidate FROM s JOIN t USING (class_id) WHERE length(raw) = length(barcode) AND raw <> barcode AND hamming(raw, barcode) <= 2""")
 def jn_mut(spark, d):
     true, _ = _sides(spark, d)
-    seen = _all_observed(spark, d).select("class_id", "raw", F.col("raw").alias("expanded")).distinct()
+    seen = _observed(spark, d).select("class_id", "raw", F.col("raw").alias("expanded")).distinct()
     return correct.mutation_candidates(seen, true, 2, 4).select("class_id", "raw", "candidate").distinct()
 
 
 _CAND = f"""WITH {_SEEN}, s AS (SELECT DISTINCT class_id, raw FROM o), x AS (SELECT class_id, raw c, sum(n) raw_n FROM o GROUP BY 1, 2),
-p AS (SELECT s.raw, barcode AS candidate, hamming(raw, barcode) dist, coalesce(raw_n, 0) raw_n FROM s JOIN t USING (class_id) LEFT JOIN x ON x.c = barcode AND x.class_id = s.class_id
+p AS (SELECT s.class_id, s.raw, barcode AS candidate, hamming(raw, barcode) dist, coalesce(raw_n, 0) raw_n FROM s JOIN t USING (class_id) LEFT JOIN x ON x.c = barcode AND x.class_id = s.class_id
 WHERE length(raw) = length(barcode) AND raw <> barcode AND hamming(raw, barcode) <= 2),
-a AS (SELECT *, count(*) OVER (PARTITION BY raw) = 1 alone FROM p),
-k AS (SELECT *, min(dist) OVER (PARTITION BY raw) least, count(*) OVER (PARTITION BY raw, dist) tied FROM a WHERE alone OR raw_n > 0)"""
+a AS (SELECT *, count(*) OVER (PARTITION BY class_id, raw) = 1 alone FROM p),
+k AS (SELECT *, min(dist) OVER (PARTITION BY class_id, raw) least, count(*) OVER (PARTITION BY class_id, raw, dist) tied FROM a WHERE alone OR raw_n > 0)"""
 
 
-@query(_CAND + " SELECT raw, candidate, dist::INT AS dist FROM k WHERE dist = least AND tied = 1")
+@query(_CAND + " SELECT class_id, raw, candidate, dist::INT AS dist FROM k WHERE dist = least AND tied = 1")
 def jn_tie(spark, d):
     """One candidate wins; of several, the only one at the least distance at which any was seen exactly."""
     true, _ = _sides(spark, d)
-    seen = _all_observed(spark, d)
+    seen = _observed(spark, d)
     plain = seen.select("class_id", "raw", F.col("raw").alias("expanded")).distinct()
     cands = correct.mutation_candidates(plain, true, 2, 4).withColumn("dist", dna.hamming("raw", "candidate"))
     raw_n = seen.groupBy("class_id", F.col("raw").alias("candidate")).agg(F.sum("n").alias("raw_n"))
@@ -242,7 +240,7 @@ def jn_tie(spark, d):
 @query()
 def jn_correct(spark, d):
     """The whole ladder."""
-    return correct.correct(_all_observed(spark, d), _listed(spark, d), filters=correct.adapter_kmers([ADAPTER], 16))
+    return correct.correct(_observed(spark, d), _listed(spark, d), filters=correct.adapter_kmers([ADAPTER], 16))
 
 
 _EL = """e AS (SELECT DISTINCT elem_id, read_ord, run_id, class_id, global_class, type, ord, direction, edit_distance, "start", stop, element_pass, write, seq, qual, original_seq FROM elements)"""
@@ -257,18 +255,12 @@ SELECT elem_id, (k, seq) IN (SELECT (class_id, barcode) FROM t) AS write_flag, o
 FROM (SELECT *, regexp_replace(class_id, '^rc_', '') k FROM e WHERE global_class = 'barcode' AND seq IS NOT NULL) WHERE (k, seq) IN (SELECT (class_id, barcode) FROM w)""")
 def jn_apply(spark, d):
     """Barcodes on a list: whether they go on (true list), and whether they were changed beyond their strand."""
-    e = _elements(spark, d).where("global_class = 'barcode' and seq is not null").withColumn("k", dna.strip_rc("class_id"))
-    w = _listed(spark, d).groupBy("class_id", "barcode").agg(F.bool_or(F.col("role") == "true").alias("write_flag"))
-    hit = e.join(small_side(w.withColumnRenamed("class_id", "k").withColumnRenamed("barcode", "seq")), ["k", "seq"])
-    changed = F.col("original_seq").isNotNull() & (F.col("seq") != F.col("original_seq")) & (F.col("seq") != dna.revcomp("original_seq"))
-    return hit.select("elem_id", "write_flag", changed.alias("corrected"))
-
-
-@query(f"""WITH {_READS}, a AS (SELECT read_ord, seq, instr(seq, '{ADAPTER}') + 31 AS anchor FROM r WHERE instr(seq, '{ADAPTER}') > 0),
-t AS (SELECT *, anchor + o AS s0, substr(seq, (anchor + o)::INT, m) b1, substr(seq, (anchor + o)::INT + m, k) b2 FROM a, (VALUES (0, 0), (1, 1), (2, -1), (3, 2), (4, -2), (5, 3), (6, -3)) v(i, o), (VALUES (15), (16)) x(m), (VALUES (14), (15)) y(k)
-WHERE anchor + o >= 1 AND anchor + o + m + k - 1 <= length(seq))
-SELECT read_ord, s0 AS "start", b1 AS barcode_1, b2 AS barcode_2 FROM t WHERE b1 IN (SELECT barcode FROM whitelist WHERE class_id = 'barcode_1') AND b2 IN (SELECT barcode FROM whitelist WHERE class_id = 'barcode_2')
-QUALIFY row_number() OVER (PARTITION BY read_ord ORDER BY i, m, k) = 1""")
+    e = _elements(spark, d).where("global_class = 'barcode' and seq is not null")
+    out = correct.apply_lists(e.select("elem_id", dna.strip_rc("class_id").alias("class_id"), "seq", "original_seq"), _listed(spark, d))
+    return out.select("elem_id", F.col("write").alias("write_flag"), "corrected")
+
+
+@query()
 def jn_joint(spark, d):
     """Two adjoining barcodes near the place where the layout expects them, the start in the direction of the adapter; on
     the reverse strand where there are none on the forward one."""
@@ -286,8 +278,7 @@ _PAIRS = "p AS (SELECT DISTINCT read_id, barcode_1 AS bc1, barcode_2 AS bc2 FROM
 def jn_mask(spark, d):
     """Pairs among the allowed ones, here those seen in two reads and more."""
     p = table(spark, d, "extracted_bc").select("read_id", F.col("barcode_1").alias("bc1"), F.col("barcode_2").alias("bc2")).dropna().distinct()
-    ok = p.groupBy("bc1", "bc2").count().where("count >= 2")
-    return p.join(ok, ["bc1", "bc2"], "left_semi").select("read_id", "bc1", "bc2")
+    return correct.allowed_pairs(p, scan.pair_counts(p).where("n >= 2")).select("read_id", "bc1", "bc2")
 
 
 _ADAPTERS = [ADAPTER, "GCCTCTCCCGGAGTACGCTGCCT", "GCGGTAGTAATAG"]
@@ -364,11 +355,15 @@ def agg_run(spark, d):
     return r.groupBy("is_fastq").agg(F.count(F.lit(1)).alias("total"), F.count("ok").alias("passing"))
 
 
-@query("SELECT line_id, len(f) AS n, f[1] AS least, f[-1] AS most FROM (SELECT line_id, CASE WHEN regexp_full_match(x, '\\d+') THEN list_filter([x::BIGINT], lambda v: v > 0) WHEN regexp_full_match(x, '\\d+-\\d+') THEN list_filter(range(least(split_part(x, '-', 1)::BIGINT, split_part(x, '-', 2)::BIGINT), greatest(split_part(x, '-', 1)::BIGINT, split_part(x, '-', 2)::BIGINT) + 1), lambda v: v > 0) ELSE [] END f FROM (SELECT line_id, split_part(line, ',', 3) x FROM raw_lines WHERE kind = 'layout') WHERE length(x) < 6)")
+@query(r"""WITH b AS (SELECT line_id, regexp_replace(regexp_replace(line, '^\x{FEFF}', ''), '\r$', '') s FROM raw_lines WHERE kind = 'layout'),
+q AS (SELECT line_id, CASE WHEN regexp_full_match(s, '("([^"]|"")*"|[^",]*)(,("([^"]|"")*"|[^",]*))*') THEN regexp_extract_all(',' || s, ',("(?:[^"]|"")*"|[^",]*)', 1)[3] END x FROM b),
+f AS (SELECT line_id, CASE WHEN x LIKE '"%' THEN replace(x[2:-2], '""', '"') ELSE x END x FROM q),
+n AS (SELECT line_id, greatest(least(a, coalesce(z, a)), 1) lo, greatest(a, coalesce(z, a)) hi FROM (SELECT line_id, try_cast(regexp_extract(x, '^\s*(\d+)\s*(?:-\s*(\d+)\s*)?$', 1) AS HUGEINT) a, try_cast(nullif(regexp_extract(x, '^\s*(\d+)\s*(?:-\s*(\d+)\s*)?$', 2), '') AS HUGEINT) z FROM f))
+SELECT line_id, (CASE WHEN hi IS NULL OR hi < lo THEN 0 ELSE hi - lo + 1 END)::BIGINT AS n, (CASE WHEN hi >= lo THEN lo END)::BIGINT AS "least", (CASE WHEN hi >= lo THEN hi END)::BIGINT AS "most" FROM n""")
 def lay_len(spark, d):
     """Lengths that a layout's length field allows; none for a bad one or a record that can't be read."""
-    parse = F.udf(lambda x: length_bounds(rejects.field(x, 2)), "n bigint, least bigint, most bigint").asNondeterministic()
-    return table(spark, d, "raw_lines").where("kind = 'layout'").select("line_id", parse("line").alias("l")).select("line_id", "l.*")
+    rows = table(spark, d, "raw_lines").where("kind = 'layout'")
+    return rows.select("line_id", length_range(rejects.field_of(F.col("line"), 2)).alias("l")).select("line_id", "l.*")
 
 
 _TOKENS = "k AS (SELECT DISTINCT upper(trim(split_part(barcode, ',', 1))) t FROM barcode_entry WHERE barcode IS NOT NULL)"
@@ -391,7 +386,11 @@ def src_wl_scan(spark, d):
 
 @query("SELECT barcode, sum(n)::BIGINT AS n FROM barcode_counts WHERE n > 0 AND regexp_full_match(barcode, '[ACGTN]+') GROUP BY 1")
 def src_rescan(spark, d):
-    return _counts(spark, d).where("n > 0 and barcode rlike '^[ACGTN]+$'")
+    """A count table written as text and read back by its reader."""
+    rows = table(spark, d, "barcode_counts").where("n > 0 and barcode is not null").select(F.concat_ws(",", "barcode", "n").alias("value"))
+    at = f"{shared_dir(spark)}/counts_{uuid.uuid4().hex}"
+    rows.write.text(at)
+    return whitelists.read_counts(spark, at)
 
 
 @query(f"WITH {_READS} SELECT read_ord, CASE WHEN coalesce(qual, '') <> '' THEN '@' || read_id || CASE WHEN coalesce(comment, '') <> '' THEN chr(9) || comment ELSE '' END || chr(10) || seq || chr(10) || '+' || chr(10) || qual ELSE '>' || read_id || CASE WHEN coalesce(comment, '') <> '' THEN chr(9) || comment ELSE '' END || chr(10) || seq END AS record FROM r")
@@ -412,6 +411,51 @@ def reformat_collapse(spark, d):
 
 @query("SELECT cb, count(*) AS n FROM (SELECT DISTINCT read_id, barcode_1 AS cb FROM extracted_bc WHERE barcode_1 IS NOT NULL) GROUP BY 1")
 def snk_split(spark, d):
-    """Records per barcode, as they would fall into one output each."""
-    return table(spark, d, "extracted_bc").where("barcode_1 is not null").select("read_id", F.col("barcode_1").alias("cb")).distinct().groupBy("cb").agg(F.count(F.lit(1)).alias("n"))
+    """Records as they fall into a folder per barcode (tests write and read such folders)."""
+    rows = table(spark, d, "extracted_bc").where("barcode_1 is not null").select("read_id", F.col("barcode_1").alias("cb"), F.lit("F").alias("strand"), F.lit(False).alias("concat"), F.lit("").alias("cr"), F.lit("").alias("ub"), F.lit("+").alias("ts"), F.lit("A").alias("seq"), F.lit(None).cast("string").alias("qual"))
+    return emit.by_barcode(rows.distinct()).where("value like '>%'").groupBy("cb").agg(F.count(F.lit(1)).alias("n"))
+
+
 
+#: The same operators where no edit of the adapter is allowed, which SQL can state.
+
+
+@query(f"WITH {_HITS} SELECT read_ord, barcode, is_rc FROM b")
+def scan_extract_exact(spark, d):
+    return _extracted(spark, d, 0).select("read_ord", "barcode", "is_rc")
+
+
+@query(f"WITH {_HITS} SELECT is_rc, count(*) AS extracted, count(*) FILTER (regexp_full_match(barcode, '[ACGT]{{1,31}}')) AS joinable FROM b GROUP BY 1")
+def scan_chunk_exact(spark, d):
+    return _extracted(spark, d, 0).groupBy("is_rc").agg(F.count(F.lit(1)).alias("extracted"), F.count_if(dna.is_plain("barcode")).alias("joinable"))
+
+
+@query(f"WITH {_HITS} SELECT barcode, count(*) AS n FROM b WHERE barcode IN (SELECT barcode FROM whitelist WHERE class_id = 'barcode') GROUP BY 1")
+def scan_count_exact(spark, d):
+    return scan.count(_extracted(spark, d, 0), _listed(spark, d, "barcode"))
+
+
+@query(f"WITH {_HITS} SELECT barcode, count(*) AS n FROM b GROUP BY 1")
+def agg_scan_exact(spark, d):
+    return scan.count(_extracted(spark, d, 0))
+
+
+@query(_SPLIT + " SELECT read_ord, is_rc, adapter_end, bc1, bc2 FROM p")
+def scan_split_exact(spark, d):
+    return _pairs(spark, d, 0)
+
+
+@query(_SPLIT + " SELECT bc1, bc2, bc1 || bc2 AS pair, count(*) AS n FROM p GROUP BY 1, 2")
+def agg_pair_exact(spark, d):
+    return scan.pair_counts(_pairs(spark, d, 0))
+
+
+@query(_SPLIT + f""", {_AXES} SELECT o1.ordinal, o1.barcode AS bc1, (SELECT string_agg(CASE WHEN (o1.barcode, z.barcode) IN (SELECT (bc1, bc2) FROM p) THEN '1' ELSE '0' END, ',' ORDER BY z.ordinal) FROM o2 z) AS line FROM o1""")
+def snk_mask_exact(spark, d):
+    return scan.pair_matrix(scan.pair_counts(_pairs(spark, d, 0)), _ordinals(spark, d, "barcode_1"), _ordinals(spark, d, "barcode_2"))
+
+
+@query(_SPLIT + f", {_AXES} SELECT DISTINCT bc1, bc2 FROM p JOIN o1 ON bc1 = o1.barcode JOIN o2 ON bc2 = o2.barcode")
+def src_mask_exact(spark, d):
+    one, two = _ordinals(spark, d, "barcode_1"), _ordinals(spark, d, "barcode_2")
+    return scan.matrix_pairs(scan.pair_matrix(scan.pair_counts(_pairs(spark, d, 0)), one, two).select("ordinal", "line"), one, two)

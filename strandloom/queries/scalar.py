@@ -104,9 +104,9 @@ def fn_ld(spark, d):
     return found.select("read_id", "barcode_1", "sequence", F.levenshtein("barcode_1", F.substring("sequence", 3, 16), 4).alias("dist"))
 
 
-@query("""WITH p AS (SELECT DISTINCT barcode_1 a, substr(sequence, 5, 16) b FROM extracted_bc WHERE length(barcode_1) >= 8 AND length(sequence) >= 20),
+@query("""WITH p AS (SELECT DISTINCT barcode_1 a, sequence b FROM extracted_bc WHERE barcode_1 IS NOT NULL AND sequence IS NOT NULL),
 w AS (SELECT a, b, CASE WHEN length(a) <= length(b) THEN a ELSE b END s, CASE WHEN length(a) <= length(b) THEN b ELSE a END l FROM p),
-m AS (SELECT a, b, min(levenshtein(s, substr(l, i::INT, n::INT))) dist FROM w, range(1, 33) t(i), range(-2, 3) u(k), LATERAL (SELECT length(s) + k n) WHERE i <= length(l) GROUP BY a, b)
+m AS (SELECT a, b, min(levenshtein(s, substr(l, i::INT, n::INT))) dist FROM w, range(1, 100) t(i), range(-2, 3) u(k), LATERAL (SELECT length(s) + k n) WHERE i <= length(l) GROUP BY a, b)
 SELECT a, b, CASE WHEN dist <= 2 THEN dist ELSE -1 END AS dist FROM m""")
 def fn_ld_part(spark, d):
     found = _scans(spark, d).where("barcode_1 is not null and sequence is not null")
@@ -115,7 +115,7 @@ def fn_ld_part(spark, d):
 
 
 @query("""WITH o AS (SELECT DISTINCT barcode_1 bc FROM extracted_bc WHERE barcode_1 IS NOT NULL), w AS (SELECT DISTINCT barcode ref FROM whitelist WHERE class_id = 'barcode'),
-p AS (SELECT bc, ref, levenshtein(bc, ref) dist FROM o JOIN w ON left(bc, 4) = left(ref, 4))
+p AS (SELECT bc, ref, levenshtein(bc, ref) dist FROM o, w WHERE abs(length(bc) - length(ref)) <= 4)
 SELECT bc, dist, count(*) AS n, string_agg(ref, ',' ORDER BY ref) AS refs FROM p WHERE dist <= 4 GROUP BY 1, 2""")
 def fn_ld_set(spark, d):
     seen = _scans(spark, d).where("barcode_1 is not null").select(F.col("barcode_1").alias("bc")).distinct()
@@ -169,8 +169,8 @@ def fn_ncpm(spark, d):
     return stats.with_ncpm(_counts(spark, d)).select("barcode", "n", F.round("ncpm", 6).alias("ncpm"), F.round("log1p_ncpm", 6).alias("log1p_ncpm"))
 
 
-@query(_COUNTS + """, k AS (SELECT barcode, least(n, 400) k FROM c), l AS (SELECT avg(k) lam FROM k)
-SELECT barcode, k, round(100 * list_sum(list_transform(range(1, k + 1), lambda i: exp(i * ln(lam) - lam - lgamma(i + 1)))) / (1 - exp(-lam)), 4) AS pct FROM k, l""")
+@query(_COUNTS + """, l AS (SELECT avg(n) lam FROM c), g AS (SELECT i AS k, sum(exp(i * ln(lam) - lam - lgamma(i + 1))) OVER (ORDER BY i) p FROM (SELECT unnest(range(1, (SELECT max(n) FROM c) + 1)) i), l)
+SELECT barcode, n AS k, round(100 * p / (1 - exp(-lam)), 4) AS pct FROM c JOIN g ON g.k = c.n, l""")
 def fn_ztp(spark, d):
     k = _counts(spark, d).select("barcode", F.col("n").alias("k"))
     rate = k.agg(F.avg("k").alias("lam"))
@@ -183,7 +183,7 @@ read_id || coalesce('_' || nullif(barcode_1, ''), '') || coalesce('_' || nullif(
 
 
 def _heads(spark, d):
-    s = _scans(spark, d).select("read_id", "is_rc", F.col("barcode_1").alias("cb"), F.substring("sequence", 17, 1000).alias("ub"))
+    s = _scans(spark, d).select("read_id", "is_rc", F.col("barcode_1").alias("cb"), F.substring(F.col("sequence"), F.lit(17), F.length("sequence")).alias("ub"))
     blank = lambda c: F.coalesce(F.col(c), F.lit(""))
     note = F.when(F.col("is_rc"), F.concat(F.lit("CB:Z:"), blank("cb"), F.lit("\tUB:Z:"), blank("ub"))).otherwise("ch=1")
     return s.withColumn("note", note).withColumn("name", tags.collapse(F.col("read_id"), F.col("cb"), F.col("ub")))
@@ -212,9 +212,8 @@ def fn_bin(spark, d):
 
 @query("""SELECT class_id, count(*) AS n, round(avg(stop - "start" + 1), 6) AS mean_len, round(coalesce(stddev_samp(stop - "start" + 1), 0), 6) AS sd_len FROM elements GROUP BY 1""")
 def fn_misc(spark, d):
-    length = F.col("stop") - F.col("start") + 1
-    return table(spark, d, "elements").groupBy("class_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(length), 6).alias("mean_len"),
-                                                               F.round(F.coalesce(F.stddev_samp(length), F.lit(0.0)), 6).alias("sd_len"))
+    mean, sd = stats.mean_deviation(F.col("stop") - F.col("start") + 1)
+    return table(spark, d, "elements").groupBy("class_id").agg(F.count(F.lit(1)).alias("n"), F.round(mean, 6).alias("mean_len"), F.round(sd, 6).alias("sd_len"))
 
 
 @query("""SELECT class_id, array_to_string(list_sort(list_distinct(list(length(barcode)))), ',') AS lengths FROM whitelist GROUP BY 1""")

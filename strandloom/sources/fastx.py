@@ -7,6 +7,7 @@ import io
 import os
 from collections.abc import Iterator
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
@@ -22,20 +23,48 @@ def clean_path(path: str) -> str:
     return os.path.expanduser(path)
 
 
-def record_files(path: str) -> list[str]:
+def file_system(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path and the path within it: local paths, and any address that Arrow knows (hdfs, s3, gs)."""
+    path = clean_path(path)
+    if "://" in path and not path.startswith("file://"):
+        return fs.FileSystem.from_uri(path)
+    return fs.LocalFileSystem(), os.path.abspath(path.removeprefix("file://").removeprefix("file:"))
+
+
+def record_files(path: str, suffixes: tuple[str, ...] = SUFFIXES) -> list[str]:
     """The file, or the record files of a folder (not of its folders) in order."""
-    path = clean_path(path.removeprefix("file://"))
-    if os.path.isdir(path):
-        return [os.path.join(path, f) for f in sorted(os.listdir(path)) if f.lower().endswith(SUFFIXES)]
-    if not os.path.exists(path):
+    at, inner = file_system(path)
+    head = path[: path.index("://") + 3] if "://" in path and not path.startswith("file://") else ""
+    info = at.get_file_info(inner)
+    if info.type == fs.FileType.Directory:
+        names = sorted(f.path for f in at.get_file_info(fs.FileSelector(inner)) if f.type == fs.FileType.File and f.path.lower().endswith(suffixes))
+        return [head + n for n in names]
+    if info.type == fs.FileType.NotFound:
         raise FileNotFoundError(path)
-    return [path]
+    return [head + inner]
 
 
 def open_text(path: str) -> io.TextIOBase:
-    with open(path, "rb") as f:
+    at, inner = file_system(path)
+    with at.open_input_stream(inner, compression=None) as f:
         zipped = f.read(2) == b"\x1f\x8b"
-    return gzip.open(path, "rt", encoding="latin-1", newline="\n") if zipped else open(path, encoding="latin-1", newline="\n")
+    raw = at.open_input_stream(inner, compression=None)
+    return io.TextIOWrapper(gzip.GzipFile(fileobj=raw) if zipped else io.BufferedReader(_Raw(raw), 1 << 20), encoding="latin-1", newline="\n")
+
+
+class _Raw(io.RawIOBase):
+    """An Arrow stream as a raw Python one."""
+
+    def __init__(self, stream):
+        self.stream = stream
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, buffer) -> int:
+        data = self.stream.read(len(buffer))
+        buffer[: len(data)] = data
+        return len(data)
 
 
 def parse_records(lines: Iterator[str]) -> Iterator[tuple[str, str, str, str]]:
@@ -91,9 +120,10 @@ class _Reader(DataSourceReader):
     def __init__(self, options: dict, columns: list[str]):
         self.path, self.columns = options["path"], columns
         self.limit = int(options["max_reads"]) if "max_reads" in options else None
+        self.suffixes = tuple(options["suffixes"].split(",")) if "suffixes" in options else SUFFIXES
 
     def partitions(self) -> list[InputPartition]:
-        return [InputPartition(f) for f in record_files(self.path)] or [InputPartition(None)]
+        return [InputPartition(f) for f in record_files(self.path, self.suffixes)] or [InputPartition(None)]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         if partition.value:
@@ -124,7 +154,8 @@ class _StreamReader(DataSourceStreamReader):
 
 
 class FastxDataSource(DataSource):
-    """Options: path, columns (comma-separated, to read only those), max_reads (per file)."""
+    """Options: path, columns (comma-separated, to read only those), suffixes, max_reads (per file; read_fastx
+    makes it one of all files)."""
 
     @classmethod
     def name(cls) -> str:
@@ -145,12 +176,28 @@ class FastxDataSource(DataSource):
         return _StreamReader(dict(self.options), self._columns())
 
 
-def read_fastx(spark: SparkSession, path: str, columns: str | None = None, max_reads: int | None = None, spread: bool = True) -> DataFrame:
-    """Records of a file or folder. A gzipped file is one task, so rows are spread over the cores right after it."""
+def read_fastx(spark: SparkSession, path: str, columns: str | None = None, max_reads: int | None = None, spread: bool = True, suffixes: tuple[str, ...] = SUFFIXES) -> DataFrame:
+    """Records of a file or folder; with ``max_reads`` the first so many of all files, in their order.
+
+    A file is one task, so rows are spread over the cores right after it.
+    """
     spark.dataSource.register(FastxDataSource)
-    reader = spark.read.format("fastx").option("path", path)
-    reader = reader.option("columns", columns) if columns else reader
-    df = (reader.option("max_reads", max_reads) if max_reads is not None else reader).load()
+
+    def load(names: str | None) -> DataFrame:
+        reader = spark.read.format("fastx").option("path", path).option("suffixes", ",".join(suffixes))
+        reader = reader.option("columns", names) if names else reader
+        return (reader.option("max_reads", max_reads) if max_reads is not None else reader).load()
+
+    df = load(columns)
+    if max_reads is not None:
+        asked = df.columns
+        counts = {r["file"]: r["n"] for r in load("file").groupBy("file").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per file
+        left, quota = max_reads, []
+        for f in sorted(counts):
+            quota.append((f, min(left, counts[f])))
+            left -= quota[-1][1]
+        own = F.broadcast(spark.createDataFrame(quota, "file string, quota bigint"))
+        df = load(",".join(dict.fromkeys([*asked, "file", "ord"]))).join(own, "file").where("ord < quota").select(*asked)
     return df.repartition(spark.sparkContext.defaultParallelism) if spread else df
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandloom.functions import dna
@@ -13,10 +13,10 @@ from strandloom.operators.scan import matrix_pairs
 SNIFF = 10
 
 
-def first_column(lines: DataFrame, line: str = "value") -> DataFrame:
+def first_column(lines: DataFrame, line: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:
     """First column before a comma or tab, without quotes, BOM and blanks; blank lines are left out."""
     text = F.trim(F.regexp_replace(F.split(F.regexp_replace(F.col(line), "^﻿", ""), "[,\t]")[0], "[\"'\r]", ""))
-    return lines.select(text.alias("token")).where(F.length("token") > 0)
+    return lines.select(text.alias("token"), *keep).where(F.length("token") > 0)
 
 
 def is_code_list(tokens: list[str]) -> bool:
@@ -45,19 +45,32 @@ def malformed(tokens: DataFrame, length: int) -> DataFrame:
 
 
 def read_whitelist(spark: SparkSession, path: str, length: int | None = None) -> DataFrame:
-    return parse_barcodes(first_column(spark.read.text(path)), length)
+    """Barcodes of a list file; one of codes, by its first lines, needs the length."""
+    tokens = first_column(spark.read.text(path))
+    if length is None and is_code_list([r[0] for r in tokens.limit(SNIFF + 1).collect()]):
+        raise ValueError(f"{path} holds codes; the length of its barcodes must be given")
+    return parse_barcodes(tokens, length)
 
 
-def read_ordered(spark: SparkSession, path: str) -> DataFrame:
-    """barcode and its dense ordinal in file order (first place of repeated ones); a header whitelist_bcs is skipped.
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``value`` and 0-based ``line`` in file order, by the place of each block in its file and each line in its block."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("m"))
+    first, offsets = 0, []
+    for f, b, n in sorted(tuple(r) for r in lines.groupBy("f", "b").agg(F.count(F.lit(1))).collect()):  # a row per block
+        offsets.append((f, b, first))
+        first += n
+    where = spark.createDataFrame(offsets, "f string, b bigint, first bigint")
+    at = F.row_number().over(Window.partitionBy("f", "b").orderBy("m")) - 1
+    return lines.withColumn("at", at).join(F.broadcast(where), ["f", "b"]).select("value", (F.col("first") + F.col("at")).alias("line"))
 
-    For axis and pair lists of a few thousand lines, which are enumerated on the driver.
-    """
-    rows = [r[0] for r in first_column(spark.read.text(path)).limit(1_000_001).collect()]
-    if len(rows) > 1_000_000:
-        raise ValueError("an ordered list may hold a million lines")
-    rows = rows[1:] if rows and rows[0].lower() == "whitelist_bcs" else rows
-    return spark.createDataFrame(list(enumerate(dict.fromkeys(rows))), "ordinal int, barcode string")
+
+def read_ordered(spark: SparkSession, path: str) -> DataFrame:
+    """barcode and its dense ordinal in file order (first place of repeated ones); a header whitelist_bcs is skipped."""
+    text = numbered_lines(spark, path)
+    rows = first_column(text.select("value", "line"), keep=("line",)).where(~((F.col("line") == 0) & (F.lower("token") == "whitelist_bcs")))
+    places = rows.groupBy(F.col("token").alias("barcode")).agg(F.min("line").alias("line"))
+    # a reference list of some millions at most, numbered once
+    return places.select((F.row_number().over(Window.orderBy("line")) - 1).cast("int").alias("ordinal"), "barcode")
 
 
 def import_whitelists(spark: SparkSession, specs: dict[str, str], lengths: dict[str, int]) -> DataFrame:
@@ -88,6 +101,9 @@ def read_counts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_pair_matrix(spark: SparkSession, path: str, first: DataFrame, second: DataFrame) -> DataFrame:
-    """Pairs a headerless 0/1 matrix allows; its lines are numbered on the driver, as many as the first list has."""
-    rows = [r[0] for r in spark.read.text(path).limit(first.count() + 1).collect()]
-    return matrix_pairs(spark.createDataFrame(list(enumerate(rows)), "ordinal int, line string"), first, second)
+    """Pairs a headerless 0/1 matrix allows: a line for each barcode of the first list, no more and no fewer."""
+    lines = numbered_lines(spark, path).where(F.length(F.trim("value")) > 0)
+    n, want = lines.count(), first.count()
+    if n != want:
+        raise ValueError(f"the pair matrix has {n} lines for {want} barcodes")
+    return matrix_pairs(lines.select(F.col("line").cast("int").alias("ordinal"), F.col("value").alias("line")), first, second)
