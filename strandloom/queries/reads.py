@@ -444,3 +444,90 @@ def _drain(spark, stream, keys, at):
     latest = rows.groupBy(*keys).agg(F.max_by(F.struct(*names), "batch").alias("x"))
     return latest.select(*keys, "x.*")
 
+
+
+#: Reads of known structure from orders and customers: bases by md5, parted so that no tail arises by chance.
+_BASES = ("0123456789abcdef", "ACGTACGTACGTACGT")
+#: Adapters at both ends of such a read, and the layout with two adjoining barcodes.
+FRONT, BACK = "ATTATCTGCATACGCATCGATA", "GCCTCTCCCGGAGTACGCTGCCT"
+JOINT_LAYOUT = f"""Read Layout,,,,,,
+id,seq,expected_length,type,class,whitelist,flags
+forw_primer,{FRONT},,static,,,
+umi,,9,variable,umi,,
+barcode_1,,15-16,variable,barcode,one,joint_barcode
+barcode_2,,14-15,variable,barcode,two,joint_barcode
+poly_t,,,static,poly_t,,
+read,,,variable,read,,
+rev_primer,{BACK},,static,,,
+"""
+
+
+def _dna(tag, key, n):
+    return F.substring(F.translate(F.md5(F.concat(F.lit(tag), F.col(key).cast("string"))), *_BASES), 1, n)
+
+
+def _parted(tag, key, cuts):
+    """Bases by md5 with fixed ones between, so that they have variety and no long runs."""
+    text, out, at = F.translate(F.md5(F.concat(F.lit(tag), F.col(key).cast("string"))), *_BASES), [], 1
+    for n, between in cuts:
+        out += [F.substring(text, at, n), F.lit(between)]
+        at += n
+    return F.concat(*out)
+
+
+_BC = [(4, "CA"), (4, "GT"), (4, "")]
+#: Before the tail stand four bases of another kind, over which it can't run.
+_BC2, _UMI, _UMI_JOINT = [(4, "CA"), (4, "GGCGC")], [(5, "C"), (2, "GCGC")], [(3, "CC"), (4, "")]
+_BODY = [(6, "GCCG")] * 5
+
+
+def _made(spark, d, joint):
+    o = table(spark, d, "orders", "o_orderkey", "o_custkey")
+    body = F.concat(F.lit("GCAGCA"), *(_parted(f"r{i}", "o_orderkey", _BODY) for i in range(3)))
+    ends = (("one", 16, "o_custkey"), ("two", 15, "part")) if joint else (("b", 16, "o_custkey"),)
+    o = o.withColumn("part", F.col("o_orderkey") % 100)
+    bcs = [_parted(t, k, _BC2 if n == 15 else _BC) for t, n, k in ends]
+    umi = _parted("u", "o_orderkey", _UMI_JOINT if joint else _UMI)
+    core = [F.lit(FRONT), umi, *bcs] if joint else [F.lit(FRONT), *bcs, umi]
+    seq = F.concat(*core, F.lit("T" * 20), body, F.lit(BACK))
+    seq = F.when(F.col("o_orderkey") % 2 == 1, dna.revcomp(seq)).otherwise(seq)
+    reads = o.select(F.col("o_orderkey").alias("read_ord"), F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("read_id"), seq.alias("seq"), F.lit(None).cast("string").alias("qual"))
+    rows = None
+    for (t, n, k), c in zip(ends, ("barcode_1", "barcode_2") if joint else ("barcode",)):
+        one = o.select(F.lit(c).alias("class_id"), F.lit("true").alias("role"), _parted(t, k, _BC2 if n == 15 else _BC).alias("barcode")).distinct()
+        rows = one if rows is None else rows.unionByName(one)
+    return reads, rows
+
+
+def _sql_parted(tag, key, cuts):
+    text, out, at = f"translate(md5('{tag}' || {key}::VARCHAR), '{_BASES[0]}', '{_BASES[1]}')", [], 1
+    for n, between in cuts:
+        out += [f"substr({text}, {at}, {n})", f"'{between}'"]
+        at += n
+    return " || ".join(out)
+
+
+def _sql_known(joint):
+    bcs = f"{_sql_parted('one', 'o_custkey', _BC)} || '-' || {_sql_parted('two', '(o_orderkey % 100)', _BC2)}" if joint else _sql_parted("b", "o_custkey", _BC)
+    body = "'GCAGCA' || " + " || ".join(_sql_parted(f"r{i}", "o_orderkey", _BODY) for i in range(3))
+    umi = _sql_parted("u", "o_orderkey", _UMI_JOINT if joint else _UMI)
+    # a tail begins with the first window that holds 12 of its bases in 14: two bases before the run on the reverse strand
+    return f"""WITH m AS (SELECT o_orderkey, {bcs} AS cb, {umi} AS ub, {body} AS body FROM orders)
+SELECT o_orderkey AS read_ord, CASE WHEN o_orderkey % 2 = 1 THEN 'R' ELSE 'F' END AS strand, cb, ub,
+CASE WHEN o_orderkey % 2 = 1 THEN reverse(translate(substr(body, 3), 'ACGT', 'TGCA')) ELSE body END AS seq FROM m"""
+
+
+@query(_sql_known(False))
+def demux_known(spark, d):
+    """Reads of known structure demultiplexed: strand, barcode, molecule tag and the read itself."""
+    reads, lists = _made(spark, d, False)
+    return pipeline.records(pipeline.demultiplex_reads(reads, layout(), lists), layout()).select("read_ord", "strand", "cb", "ub", "seq")
+
+
+@query(_sql_known(True))
+def demux_joint(spark, d):
+    """The same with two adjoining barcodes, looked for as a chain."""
+    reads, lists = _made(spark, d, True)
+    mode, rows = read_rows(JOINT_LAYOUT)
+    lay = compile_layout(rows, mode)
+    return pipeline.records(pipeline.demultiplex_reads(reads, lay, lists), lay).select("read_ord", "strand", "cb", "ub", "seq")
