@@ -477,7 +477,7 @@ def _parted(tag, key, cuts):
 
 _BC = [(4, "CA"), (4, "GT"), (4, "")]
 #: Before the tail stand four bases of another kind, over which it can't run.
-_BC2, _UMI, _UMI_JOINT = [(4, "CA"), (4, "GGCGC")], [(5, "C"), (2, "GCGC")], [(3, "CC"), (4, "")]
+_BC2, _UMI, _UMI_JOINT = [(4, "CA"), (4, "GGCGC")], [(5, "C"), (2, "GCGC")], [(2, "GT"), (2, "GT"), (1, "")]
 _BODY = [(6, "GCCG")] * 5
 
 
